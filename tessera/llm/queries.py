@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_fst, langid, line_rules, sharding
+from . import bpe_fst, langid, line_rules, packing, sharding
 from .common import split_remainder, table
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_sharding": op8_sharding,
