@@ -24,6 +24,7 @@ A word that is itself a token is that token, as in the public library.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from bisect import insort
@@ -181,6 +182,10 @@ class Transducer:
         yield from self._finish(state)
 
 
+#: Marks that the public pattern matches apart from the letters before them.
+_MARKS = ".,;:!?"
+
+
 class _NotApart(Exception):
     """A part begins or ends in white space, which may belong to a longer match."""
 
@@ -213,7 +218,15 @@ class _Parts(_Memory):
         self.codec = codec
 
     def make(self, part: str) -> bytes:
-        word = part[1:] if part[:1] in (" ", "\n") else part
+        blank = part[:1] if part[:1] in (" ", "\n") else ""
+        word = part[len(blank) :]
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # letters, then marks: matched as one and one
+            if blank == "\n":
+                return self.codec["\n"] + self[word]
+            if core is not word and core != word:
+                return self[blank + core] + self.codec[word[len(core) :]]
+            return self.codec.make(part)
         if word != word.strip() or (not word and part):
             raise _NotApart
         return self.codec.encode_whole(part)
@@ -303,6 +316,7 @@ def codec(path: str, pattern: str) -> Codec:
     """This process's codec of a vocabulary file; built once."""
     key = (path, pattern)
     if key not in _CODECS:
+        gc.set_threshold(200_000, 50, 1000)  # the tables hold no cycles
         _CODECS[key] = Codec(load_ranks(path), pattern)
     return _CODECS[key]
 
