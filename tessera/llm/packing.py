@@ -21,6 +21,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
 
+#: Marks that the public tokenizer splits from letters before them.
+_MARKS = b".,;:!?"
 Slots = list[tuple[tuple[int, ...], int]]
 
 
@@ -58,13 +61,28 @@ class WordIds(dict):
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        fresh = []
+        joint: list[tuple[bytes, bytes, bytes]] = []
+        fresh = set()
         for word in words:
-            if word not in self:
-                if word in self.older:
-                    self[word] = self.older[word]
-                else:
-                    fresh.append(word)
+            if word in self:
+                continue
+            if word in self.older:
+                self[word] = self.older[word]
+                continue
+            core = word.rstrip(_MARKS)
+            if len(core) < len(word) and core.decode("utf-8", "replace").isalpha():
+                # Letters and marks after them are tokenized apart.
+                joint.append((word, core, word[len(core) :]))
+                fresh.update(x for x in joint[-1][1:] if x not in self)
+            else:
+                fresh.add(word)
+        self._tokenize([w for w in fresh if w not in self.older])
+        for word in fresh & self.older.keys():
+            self[word] = self.older[word]
+        for word, core, marks in joint:
+            self[word] = self[core] + self[marks]
+
+    def _tokenize(self, fresh: list[bytes]) -> None:
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
@@ -81,6 +99,7 @@ _WORDS: dict[str, WordIds] = {}
 def _word_ids(path: str) -> WordIds:
     if path not in _WORDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 50, 1000)  # the tables hold no cycles
         _WORDS[path] = WordIds(path)
     return _WORDS[path]
 
