@@ -1 +1 @@
-"""Part of tessera; see README.md."""
+"""Scalar functions on columns: text, mathematics markup, answers, JSON repair."""
