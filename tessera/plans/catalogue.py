@@ -595,7 +595,7 @@ def artifact_refs(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "supplier").select("s_suppkey", F.array_join(scaffold.references(body), "|").alias("refs"))
 
 
-@query("SELECT n_nationkey, n_name AS goal, '├── a|│   └── b' AS subskills, 'The model will do ' || n_name AS fallback, 'Analyze"' AS level FROM nation")
+@query("""SELECT n_nationkey, n_name AS goal, '├── a|│   └── b' AS subskills, 'The model will do ' || n_name AS fallback, 'Analyze"' AS level FROM nation""")
 def analysis_tree(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("Instructional Goal: old\n# t\nInstructional Goal: "), F.col("n_name"), F.lit("\n ├── a\n│   └── b\n"))
     loose = F.concat(F.lit('"cognitive_level": "Analyze",\n\'The model will do '), F.col("n_name"), F.lit("'"))
