@@ -355,6 +355,7 @@ def repeated_spans(docs: DataFrame, rid: Column, text_col: str, length: int, sli
     cut = rows.where(F.octet_length("data") >= length).select("rid", "data").mapInArrow(_cut(length, width), "rid long, key long, ctx long, at long, ll int, rl int")
     cut = materialize(cut, "slices")
     keys = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).where("n > 1").select("key", (F.col("c1") == F.col("c2")).alias("equal"))
+    keys = materialize(keys, "met-keys")  # else count and join share a stage, and a hot key one of its tasks
     met = materialize(cut.join(keys, "key"), "met-slices")
     block = length - spread
     whole = met.where("equal").select("rid", (F.col("at") - F.col("ll")).alias("s"), (F.col("at") + block + F.col("rl")).alias("e"))
