@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_fst, langid, line_rules, packing, pitman_yor, pivot_index, sharding, simhash, suffix_dedup
+from . import bpe_fst, compact_windows, langid, line_rules, packing, pitman_yor, pivot_index, sharding, simhash, suffix_dedup
 from .common import split_remainder, table
 
 
@@ -21,6 +21,10 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"), split_remainder("doc_id", 10) != 0)
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
     "op3_pitman_yor": op3_pitman_yor,
+    "op4_compact_windows": op4_compact_windows,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
