@@ -116,4 +116,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT lost_words > 0.5::DOUBLE * n_words AS kept,
   n_failed_lines, lost_words
 FROM counts""",
+    "op8_sharding": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), digest AS (
+  SELECT r, doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size,
+    CAST(xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS BIGINT) AS text_crc32
+  FROM docs, crc_table
+), jump AS (
+  SELECT r, n, CAST(coalesce(doc_id, 0) AS HUGEINT) AS key, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM docs, (VALUES (8), (9)) v(n)
+  UNION ALL
+  SELECT r, n, k, j, CAST(trunc((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k // 8589934592) + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT r, n, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k, j FROM jump WHERE j < n)
+), placed AS (
+  SELECT r, CAST(max(b) FILTER (WHERE n = 8) AS INT) AS shard, CAST(max(b) FILTER (WHERE n = 9) AS INT) AS grown_shard FROM jump GROUP BY r
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM digest JOIN placed USING (r)""",
 }
