@@ -396,9 +396,10 @@ cases AS (SELECT conv_id, first_success, coalesce(first_success, 5) AS iteration
  WHEN first_success > 1 THEN '{registry.CASE_B}' ELSE '{registry.CASE_C}' END AS sft_case FROM cls)"""
 
 
-@query(f"WITH {ITER}, {CLASSIFIED} SELECT conv_id, sft_case, first_success, CAST(iterations_needed AS BIGINT) AS iterations_needed FROM cases")
+@query(f"WITH {ITER}, {CLASSIFIED} SELECT conv_id, sft_case, coalesce(first_success, 0) AS first_success, CAST(iterations_needed AS BIGINT) AS iterations_needed FROM cases")
 def case_classify(spark: SparkSession, d: str) -> DataFrame:
-    return loop.classify(_iterations(spark, d), "conv_id", "iteration", "satisfied", 5)
+    got = loop.classify(_iterations(spark, d), "conv_id", "iteration", "satisfied", 5)
+    return got.withColumn("first_success", F.coalesce("first_success", F.lit(0)).cast("bigint"))
 
 
 @query(
@@ -628,3 +629,20 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """An extension: daily windows of events."""
     e = _t(spark, d, "events")
     return e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query()
+def log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events replayed as a stream, each user once, counted by kind."""
+    from uuid import uuid4
+
+    events = _t(spark, d, "events").select("user_id", "event_type")
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"log_stream_{uuid4().hex}"
+    seen = rows.dropDuplicates(["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
+    sink = seen.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        sink = sink.option("checkpointLocation", f"{shared}/{name}")
+    run = sink.start()
+    run.awaitTermination()
+    return spark.table(name).select("user_id", "n")
