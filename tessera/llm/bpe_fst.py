@@ -167,7 +167,7 @@ class Transducer:
         cuts = self._chain(lasts, len(pending))
         return tuple(pending[a:b] for a, b in zip(cuts, cuts[1:]))
 
-    def tokens(self, data: bytes) -> Iterator[bytes]:
+    def tokens(self, data: Iterable[int]) -> Iterator[bytes]:
         """Tokens of one word, each as soon as no continuation can change it."""
         if len(self.states) > self.limit:
             self._reset()
