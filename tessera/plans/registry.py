@@ -113,8 +113,9 @@ def eval_dir(base: str, domain: str, student: str) -> str:
     return f"{base}/{domain}/eval/{short(student)}"
 
 
-def enhanced_name(dataset: str) -> str:
-    return f"{dataset}_train_ID-MAS.json"
+def enhanced_name(dataset: str, suffix: str = "_train_enhanced.json") -> str:
+    """The name of an enriched file; other tools' endings are given as ``suffix``."""
+    return dataset + suffix
 
 
 def remote_model(name: str) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.answers import choices, ground_truth
-from ..functions.text import none_if_empty, text
+from ..functions.text import text
 from ..plans import registry
 
 
@@ -91,11 +91,17 @@ def load_split(spark: SparkSession, base: str, domain: str, split: str, dataset:
     return load(spark, f"{base}/{domain}/{split}/data/{name}_{split}.json", name, split, limit)
 
 
-def enhanced_files(spark: SparkSession, base: str, dataset: str | None = None) -> DataFrame:
+def enhanced_files(spark: SparkSession, base: str, dataset: str | None = None, suffix: str = "_train_enhanced.json") -> DataFrame:
     """Enriched files below a folder, by dataset."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", registry.enhanced_name(dataset or "*")).load(base)
-    name = F.regexp_extract("path", r"([^/]+)_train_ID-MAS\.json$", 1)
-    return found.select("path", name.alias("dataset")).where("dataset <> ''")
+    wanted = registry.enhanced_name(dataset or "*", suffix)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).load(base)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select("path", F.left(name, F.length(name) - len(suffix)).alias("dataset"))
+
+
+def load_enhanced(spark: SparkSession, path: str, dataset: str, limit: int | None = None, shuffle_seed: int | None = None) -> DataFrame:
+    """Questions of an enriched file, whose metadata carries the design constants."""
+    return load(spark, path, dataset, "train", limit, shuffle_seed)
 
 
 def design(spark: SparkSession, path: str) -> dict | None:
@@ -129,7 +135,3 @@ def raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> D
         return spark.read.parquet(path)
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path, multiLine=not path.endswith(".jsonl"))
-
-
-def falsy(c: str):  # noqa: ANN201
-    return none_if_empty(F.col(c)).isNull()
