@@ -48,7 +48,7 @@ class WordIds(dict):
     its words in turn. Holds at most twice ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 120_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -221,7 +221,7 @@ def _cut(length: int, width: int):
                 got = list(_slices(batch.column(1)[i].as_py(), length, width))
                 rid += [batch.column(0)[i].as_py()] * len(got)
                 out += got
-                if len(out) > 100_000:
+                if len(out) > 30_000:
                     yield flush()
                     rid, out = [], []
             yield flush()
@@ -407,14 +407,14 @@ def _without(docs: DataFrame, carried: list[str], id_col: str, text_col: str, le
     return joined.mapInArrow(_apply(schema.names, last == "__text"), schema)
 
 
-def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", slices: int = 3, group: int = 300, chunk: int = 1 << 20) -> DataFrame:
+def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", slices: int = 3, group: int = 300, chunk: int = 1 << 18) -> DataFrame:
     """One row per row of ``docs``: bytes, bytes removed, removed runs, digest of the rest."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     got = _without(rows, ["__id"], "__id", "__t", length, slices, group, chunk, "kept_sha256")
     return got.withColumnRenamed("__id", id_col)
 
 
-def clean(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", slices: int = 3, group: int = 300, chunk: int = 1 << 20) -> DataFrame:
+def clean(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", slices: int = 3, group: int = 300, chunk: int = 1 << 18) -> DataFrame:
     """``docs`` without the covered bytes, in the same columns.
 
     A character that a cut leaves incomplete goes too. ``chars_col``, where
