@@ -3,9 +3,9 @@
 Each vector is described by its ``near`` nearest of up to ``max_pivots``
 reference vectors, in order. Vectors that nearly coincide order the pivots
 nearly alike, so the index retrieves pairs of one label that share at least
-``share`` of their pivots, through inverted lists of pivots, and verifies each by
-cosine in double precision. The index is approximate only in that count:
-README.md has the measured recall.
+``share`` of their pivots, or have the nearest one in common, through inverted
+lists of pivots, and verifies each by cosine in double precision. The index is
+approximate only in that count: README.md has the measured recall.
 
 A pair that shares ``share`` of ``near`` pivots shares one among the first
 ``near - share + 1`` of them in any fixed order (rarest first here), so a vector
@@ -13,11 +13,15 @@ is posted under those only, and a pair is counted in the list of its first
 common one alone. Long lists are cut into blocks of at most about ``block``
 vectors and each pair of blocks is a group of its own; inside, counts and cosines
 are matrix products, and what comes out is each vector's number of links and one
-link to the least member of its connected part, never all pairs.
+link to the least member of its connected part, never all pairs. Pairs that
+share fewer pivots, but the nearest, are counted in a list of that one.
 
 Equal vectors of one label are one row with a multiplicity from the start. The
-reference vectors are a sample of bounded size drawn by a hash of the vector,
-for each length of vector apart; every vector is indexed.
+reference vectors are spread out: of a sample of bounded size, drawn by a hash of
+the vector for each length of vector apart, the one farthest from those taken is
+next, until all are within a cosine of ``spread`` of one. So a group of near
+copies, however large, holds one or two of them, and its members meet in their
+list. Every vector is indexed.
 
 Defined cases: a vector that is null, empty or zero, or holds a null or
 non-finite component, or has a null label, links with nothing and is its own
@@ -46,6 +50,18 @@ def pivot_count(n: int, least: int = 64, most: int = 1024) -> int:
     return min(most, max(least, 1 << math.ceil(math.log2(max(1, math.isqrt(n))))))
 
 
+def spread_out(x: np.ndarray, most: int, spread: float) -> np.ndarray:
+    """At most ``most`` of the unit vectors, each the farthest from those before it."""
+    taken, close = [0], x @ x[0]
+    while len(taken) < min(most, len(x)):
+        k = int(close.argmin())
+        if close[k] >= spread:
+            break
+        taken.append(k)
+        close = np.maximum(close, x @ x[k])
+    return x[taken]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Binary rows of doubles as unit vectors."""
     if not len(column):
@@ -124,7 +140,9 @@ def _compare(threshold: float, share: int):
         rows = np.repeat(np.arange(len(rid)), prefix.shape[1])[ahead.ravel()]
         earlier[rows, np.searchsorted(pivot, prefix.ravel()[ahead.ravel()])] = 1.0
         same = bool(table.column("bi")[0].as_py() == table.column("bj")[0].as_py())
-        linked = (member @ member.T >= min(share, ranked.shape[1])) & (earlier @ earlier.T == 0)
+        enough = member @ member.T >= min(share, ranked.shape[1])
+        # Negative places are the lists of nearest pivots.
+        linked = enough & (earlier @ earlier.T == 0) if place >= 0 else ~enough
         linked &= unit @ unit.T >= threshold
         np.fill_diagonal(linked, False)
         if not same:
@@ -152,6 +170,8 @@ def near_duplicates(
     share: int = 4,
     max_pivots: int = 1024,
     block: int = 1500,
+    sampled: int = 8,
+    spread: float = 0.7,
 ) -> DataFrame:
     """One row per row of ``vectors``: id, number of links, least id of its class, kept."""
     rows = vectors.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"), F.col(vector_col).alias("__v"))
@@ -162,9 +182,10 @@ def near_duplicates(
 
     pivots: dict[int, np.ndarray] = {}
     for row in reps.groupBy("__dim").count().orderBy("__dim").collect():
-        sample = reps.where(F.col("__dim") == row["__dim"]).orderBy(F.xxhash64("__vec"), "rid").limit(pivot_count(row["count"], most=max_pivots)).select("__vec").collect()
+        most = pivot_count(row["count"], most=max_pivots)
+        sample = reps.where(F.col("__dim") == row["__dim"]).orderBy(F.xxhash64("__vec"), "rid").limit(sampled * most).select("__vec").collect()
         x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), "<f8").reshape(len(sample), -1)
-        pivots[row["__dim"]] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        pivots[row["__dim"]] = spread_out(x / np.linalg.norm(x, axis=1, keepdims=True), most, spread)
     described = materialize(_described(reps, pivots, near), "vector-pivots")
 
     # Rarest first; at most max_pivots counts for each vector length.
@@ -181,10 +202,11 @@ def near_duplicates(
 
         return pd.Series([sorted(shipped.value[d][p] for p in ps) for d, ps in zip(dims, pivots_of)])
 
-    posted = described.select("rid", "__label", "__dim", "__vec", "weight", by_rarity("__dim", "near").alias("order"))
+    posted = described.select("rid", "__label", "__dim", "__vec", "weight", "near", by_rarity("__dim", "near").alias("order"))
     prefix = F.slice("order", F.lit(1), F.greatest(F.size("order") - (share - 1), F.lit(1)))
-    posted = posted.select("*", F.explode(prefix).alias("place"))
-    lists = described.select("__label", "__dim", F.explode(F.slice(by_rarity("__dim", "near"), F.lit(1), F.greatest(F.size("near") - (share - 1), F.lit(1)))).alias("place"))
+    places = F.explode(F.concat(prefix, F.array(-1 - F.get("near", F.lit(0))))).alias("place")
+    lists = posted.select("__label", "__dim", places)
+    posted = posted.select("rid", "__label", "__dim", "__vec", "weight", "order", places)
     lists = lists.groupBy("__label", "__dim", "place").agg(F.count("*").alias("n")).where("n > 1").select("*", F.ceil(F.col("n") / block).cast("int").alias("blocks")).drop("n")
     posted = posted.join(lists, ["__label", "__dim", "place"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     paired = posted.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(

@@ -59,6 +59,24 @@ def test_vectors(spark, block):
     same([tuple(r) for r in got.collect()], want)
 
 
+@pytest.mark.parametrize(("mean", "share"), [(0.985, 1 / 3), (0.95, 0.9)])
+def test_vectors_of_one_large_group(spark, mean, share):
+    """Distinct near copies round one centre, half of them close to one of the others."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    n, k = 1200, int(1200 * share) // 2
+    group = np.sqrt(mean) * unit(rng.normal(size=64)) + np.sqrt(1 - mean) * unit(rng.normal(size=(k, 64)))
+    near = unit(group) + 0.15 * unit(rng.normal(size=(k, 64)))
+    x = unit(np.concatenate([group, near, rng.normal(size=(n - 2 * k, 64))]))
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    part = components(n, zip(*(i.tolist() for i in np.nonzero(linked))))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = pivot_index.near_duplicates(df)
+    assert linked.sum() > 1000
+    same([tuple(r)[:3] for r in got.collect()], [(i, int(linked[i].sum()), part[i]) for i in range(n)])
+
+
 def test_no_vectors(spark):
     assert pivot_index.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
