@@ -196,6 +196,18 @@ def test_shared_passages(odd_docs, no_docs, group):
     assert compact_windows.shared_passages(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("group", [200, 2])
+def test_second_passage_of_one_class(spark, group):
+    """A passage of the least length is found beside a long one that has joined the texts."""
+    rnd = random.Random(7)
+    some = lambda n: [f"w{rnd.randrange(100_000)}" for _ in range(n)]
+    long, short = some(200), some(50)
+    rows = [(i, " ".join([*some(60), *long, *some(60), *short, *some(60)])) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = compact_windows.shared_passages(df, settings=compact_windows.Settings(group=group)).collect()
+    assert sorted((r["doc_id"], r["component_id"], [tuple(p) for p in r["passages"]]) for r in got) == [(i, 0, [(60, 259), (320, 369)]) for i in range(3)]
+
+
 # ------------------------------------------------------------------------- 5
 
 
