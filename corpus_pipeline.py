@@ -28,16 +28,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one with the least id.
+    """One document of each SimHash class: the one with the least id and text hash.
 
-    Of repeated rows with that id one stays. Rows without an id name no class:
-    of those with equal texts one stays.
+    Rows without an id come after those with one. Of repeated rows one stays.
     """
-    classes = simhash.near_duplicates(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.select(*docs.columns).union(nameless.select(*docs.columns))
+    nameless = F.col("doc_id").isNull()
+    key = F.struct(nameless.alias("nameless"), F.when(~nameless, F.col("doc_id")).otherwise(0).alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.withColumn("__key", key)
+    classes = simhash.near_duplicates(rows, id_col="__key")
+    kept = classes.where("__key = component_id").select("__key").distinct()
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,14 @@ def test_stages_do_what_their_operators_say(spark, odd_docs):
     assert all(lengths[i] - 6 <= n <= lengths[i] for i, n in got.items())
 
 
+def test_near_copies_go_by_row(spark):
+    """Clean texts of one id both stay; of near copies without an id one does."""
+    texts = ["alpha beta gamma delta one", "quite other words stand in here", "Rows that have no id at all", "rows that have no id at all", "alpha beta gamma DELTA one"]
+    df = spark.createDataFrame(list(zip([1, 1, None, None, 0], texts)), "doc_id long, text string")
+    got = p.near_copies(spark, df, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"].lower()) for r in got) == [(False, 0, texts[0]), (False, 1, texts[1]), (True, None, texts[3])]
+
+
 def test_empty_table(spark, no_docs):
     docs = no_docs
     for _, stage in p.STAGES:
