@@ -362,9 +362,12 @@ def gsm_split(spark: SparkSession, d: str) -> DataFrame:
 def union_configs(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
     solution = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("so \\boxed{"), F.col("n_chars").cast("string"), F.lit("}"))).otherwise("unclear")
-    parts = {x: docs.where(F.col("lang") == x).select(F.col("text").alias("problem"), solution.alias("solution"), F.lit("1").alias("level"), F.lit(x).alias("type")) for x in ("de", "en", "es", "fr")}
-    got = prepare.math(parts)
-    return got.select(F.col("input").alias("problem"), "output", F.col("metadata")["type"].alias("subtask"))
+    configs = ("de", "en", "es", "fr")
+    wanted = {x: F.col("lang") == x for x in configs} | {"rest": ~F.col("lang").isin(*configs), "none": F.col("lang").isNull()}
+    parts = {x: docs.where(rows).select(F.col("text").alias("problem"), solution.alias("solution"), F.lit("1").alias("level"), F.col("lang").alias("type")) for x, rows in wanted.items()}
+    # Records hold an empty type where there is none; the query's rows hold null.
+    none = prepare.math({"none": parts.pop("none")}).select(F.col("input").alias("problem"), "output", F.lit(None).cast("string").alias("subtask"))
+    return prepare.math(parts).select(F.col("input").alias("problem"), "output", F.col("metadata")["type"].alias("subtask")).union(none)
 
 
 # ---------------------------------------------------- resume, logs, statistics

@@ -28,6 +28,15 @@ def test_same_rows_as_sql(spark, name):
     assert key(tuple(r[c] for c in want.columns) for r in got.collect()) == key(want.fetchall())
 
 
+def test_configs_cover_every_language(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    rows = [(i, f"t{i}", x, 2) for i, x in enumerate(["de", "en", "es", "fr", "it", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["union_configs"](spark, str(tmp_path)).collect()
+    assert {(r["problem"], r["subtask"]) for r in got} == {(t, x) for _, t, x, _ in rows}
+
+
 def test_entry_imports():
     import __spark_entry__
 
