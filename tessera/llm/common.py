@@ -59,3 +59,16 @@ def split_remainder(id_col: str, mod: int) -> Column:
 def text_bytes(text_col: str) -> Column:
     """The text's UTF-8 bytes, empty where it is null."""
     return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+
+
+def merged_runs(runs: Column, first: str, last: str, kind: str = "bigint") -> Column:
+    """Disjoint, sorted runs of the integers that an array of inclusive runs holds."""
+    empty = F.array().cast(f"array<struct<{first}:{kind},{last}:{kind}>>")
+
+    def step(out: Column, x: Column) -> Column:
+        top = F.try_element_at(out, F.lit(-1))
+        wider = F.struct(top[first].alias(first), F.greatest(top[last], x[last]).alias(last))
+        joins = (F.size(out) > 0) & (top[last] + 1 >= x[first])
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(out, F.array(F.struct(x[first].alias(first), x[last].alias(last)))))
+
+    return F.aggregate(F.sort_array(runs), empty, step)

@@ -32,7 +32,7 @@ are known by a 64-bit hash of id and text, and blocks by one of their bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, merged_runs, text_bytes
 
 GRAM = 32
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -262,6 +262,21 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _joined(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Disjoint runs of the integers that the inclusive ``spans`` hold, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+#: Windows of a slice that occur elsewhere: disjoint runs, first and last included.
+_RUNS = "key long, ctx long, runs array<struct<i1:int,i2:int>>"
+
+
 def _repeats(spread: int, chunk: int):
     """Covered windows of each slice, from sorted items; a window takes ``spread`` flank bytes."""
 
@@ -277,9 +292,10 @@ def _repeats(spread: int, chunk: int):
             for i, place in places:
                 n = len(items[keys[i]][1])
                 found.setdefault(i, set()).add((n - (place + size - spread - 8), n - place))
-        rows = [(*keys[i], a, b) for i, spans in found.items() for a, b in spans]
-        c = list(zip(*rows)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "i1", "i2"])
+        rows = [(*keys[i], [{"i1": a, "i2": b} for a, b in _joined(spans)]) for i, spans in found.items()]
+        c = list(zip(*rows)) if rows else [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("i1", pa.int32()), ("i2", pa.int32())])))
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds)], names=["key", "ctx", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[int, bytes, bytes]] = {}
@@ -326,13 +342,13 @@ def _finer(spread: int, width: int):
 
 
 def _resolve(items: DataFrame, spread: int, widths: list[int], group: int, chunk: int) -> DataFrame:
-    """``key, ctx, i1, i2``: windows ``i1..i2`` of the slice occur elsewhere."""
+    """``key, ctx, runs``, one row per slice that has windows which occur elsewhere."""
     sizes = items.groupBy("key").agg(F.count_distinct("ctx").alias("n"))
     large = materialize(sizes.where(F.col("n") > group).select("key"), "large-keys")
     if large.isEmpty() or spread == 0:
-        return items.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(spread, chunk), "key long, ctx long, i1 int, i2 int")
+        return items.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(spread, chunk), _RUNS)
     small = items.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    done = small.mapInArrow(_repeats(spread, chunk), "key long, ctx long, i1 int, i2 int")
+    done = small.mapInArrow(_repeats(spread, chunk), _RUNS)
     width = widths[0]
     finer = items.join(large, "key", "left_semi").dropDuplicates(["key", "ctx"])
     finer = materialize(finer.mapInArrow(_finer(spread, width), f"key0 long, ctx0 long, base int, {_ITEM}"), "finer-slices")
@@ -340,14 +356,17 @@ def _resolve(items: DataFrame, spread: int, widths: list[int], group: int, chunk
     finer = finer.join(met, "key", "left_semi")
     # ``first`` is right for the flanks: equal key and ctx mean equal flanks.
     distinct = materialize(finer.groupBy("key", "ctx").agg(F.sum("m").alias("m"), F.first("left").alias("left"), F.first("right").alias("right")), "finer-items")
-    ends = distinct.where(F.lit(width == 1) & (F.col("m") > 1)).select("key", "ctx", F.lit(0).alias("i1"), F.lit(0).alias("i2"))
-    inner = ends if width == 1 else _resolve(distinct, width - 1, widths[1:], group, chunk)
-    back = finer.join(inner, ["key", "ctx"]).select(F.col("key0").alias("key"), F.col("ctx0").alias("ctx"), (F.col("base") + F.col("i1")).cast("int").alias("i1"), (F.col("base") + F.col("i2")).cast("int").alias("i2"))
-    return done.union(back)
+    whole = F.array(F.struct(F.lit(0).alias("i1"), F.lit(0).alias("i2")))
+    inner = distinct.where("m > 1").select("key", "ctx", whole.alias("runs")) if width == 1 else _resolve(distinct, width - 1, widths[1:], group, chunk)
+    # One row per finer slice on either side of the join, so it makes no more rows than there are.
+    moved = F.transform("runs", lambda r: F.struct((F.col("base") + r["i1"]).cast("int").alias("i1"), (F.col("base") + r["i2"]).cast("int").alias("i2")))
+    back = finer.join(inner, ["key", "ctx"]).select("key0", "ctx0", moved.alias("runs"))
+    back = back.groupBy("key0", "ctx0").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return done.union(back.select(F.col("key0").alias("key"), F.col("ctx0").alias("ctx"), merged_runs(F.col("runs"), "i1", "i2", "int").alias("runs")))
 
 
 def repeated_spans(docs: DataFrame, rid: Column, text_col: str, length: int, slices: int, group: int, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """``rid, s, e`` of covered stretches, and the rows as ``rid, data`` with their columns."""
+    """``rid, spans`` of covered stretches, one row per slice, and the rows as ``rid, data`` with their columns."""
     reach = length - GRAM
     width = -(-(reach + 1) // slices)
     spread = width - 1
@@ -358,7 +377,7 @@ def repeated_spans(docs: DataFrame, rid: Column, text_col: str, length: int, sli
     keys = materialize(keys, "met-keys")  # else count and join share a stage, and a hot key one of its tasks
     met = materialize(cut.join(keys, "key"), "met-slices")
     block = length - spread
-    whole = met.where("equal").select("rid", (F.col("at") - F.col("ll")).alias("s"), (F.col("at") + block + F.col("rl")).alias("e"))
+    whole = met.where("equal").select("rid", F.array(F.struct((F.col("at") - F.col("ll")).alias("s"), (F.col("at") + block + F.col("rl")).alias("e"))).alias("spans"))
     other = met.where("not equal").drop("equal")
     wanted = other.groupBy("key", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("rid", "at", "ll", "rl")).alias("x"))
     wanted = wanted.groupBy("x.rid").agg(F.collect_list(F.struct("key", "ctx", "m", "x.at", "x.ll", "x.rl", F.lit(block).alias("block"))).alias("want"))
@@ -366,7 +385,8 @@ def repeated_spans(docs: DataFrame, rid: Column, text_col: str, length: int, sli
     items = materialize(texts.join(wanted, "rid").select("packed", "want").mapInArrow(_fetch, _ITEM), "slice-items")
     widths = [w for w in (16, 4, 1) if w < width]
     found = _resolve(items, spread, widths, group, chunk)
-    part = other.join(found, ["key", "ctx"]).select("rid", (F.col("at") - F.col("i2")).alias("s"), (F.col("at") - F.col("i1") + length).alias("e"))
+    covered = F.transform("runs", lambda r: F.struct((F.col("at") - r["i2"]).alias("s"), (F.col("at") - r["i1"] + length).alias("e")))
+    part = other.join(found, ["key", "ctx"]).select("rid", covered.alias("spans"))
     return whole.union(part), rows
 
 
@@ -378,7 +398,7 @@ def _apply(names: list[str], with_text: bool):
             for packed, spans in zip(batch.column("packed"), batch.column("spans")):
                 data = unpack.decompress(packed.as_py())
                 merged: list[list[int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in spans.as_py() or []):
+                for s, e in sorted((x["s"], x["e"]) for part in spans.as_py() or [] for x in part):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
@@ -401,7 +421,7 @@ def _apply(names: list[str], with_text: bool):
 def _without(docs: DataFrame, carried: list[str], id_col: str, text_col: str, length: int, slices: int, group: int, chunk: int, last: str) -> DataFrame:
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
     spans, rows = repeated_spans(docs, rid, text_col, length, slices, group, chunk)
-    spans = spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = spans.groupBy("rid").agg(F.collect_set("spans").alias("spans"))
     joined = _packed(rows, ["rid", *carried]).join(spans, "rid", "left").select(*carried, "packed", "spans")
     schema = joined.select(*carried).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(last, "string")
     return joined.mapInArrow(_apply(schema.names, last == "__text"), schema)
