@@ -2,11 +2,12 @@
 
 After "non-negative least squares histogram packing" (Krell et al., 2021):
 patterns of two to four lengths that fill a sequence exactly are enumerated by
-pricing, a few rounds of the best pattern through each length; non-negative
-least squares fits how often to repeat each so that the patterns together
-reproduce the histogram of lengths; counts are rounded down and what is left is
-packed best-fit, longest first. Several shares of the fitted counts are tried
-and the plan with the fewest sequences wins, the least share being none.
+pricing, a few rounds of the best pattern through each length; active-set
+non-negative least squares fits how often to repeat each so that the patterns
+together reproduce the histogram of lengths; counts are rounded, as far as there
+are pieces, and what is left is packed best-fit, longest first. Several shares of
+the fitted counts are tried, a half at least, and the plan with the fewest
+sequences wins, of equal ones that with most patterns.
 
 Only the histogram (at most ``size`` numbers) reaches the driver, however many
 documents there are, and the plan is bounded by ``size`` too. A piece finds its
@@ -14,8 +15,9 @@ place from its length and its rank among pieces of that length. Ranks come from
 counts per input partition and length, so no length is gathered in one task,
 even one that a third of all pieces share.
 
-Defined cases: a null text counts as empty and gives one piece of one id;
-repeated rows are packed one by one; an empty table gives an empty table; other
+Defined cases: a null text counts as empty and gives one piece of one id; very
+long texts are tokenized whole and cut into pieces; pieces of one length are
+alike, so ties between them are broken by the input's order; repeated rows are packed one by one; an empty table gives an empty table; other
 columns are not read.
 """
 
@@ -38,6 +40,8 @@ from .common import materialize, text_bytes
 
 #: Marks that the public tokenizer splits from letters before them.
 _MARKS = b".,;:!?"
+#: Below this code point normalization keeps a letter one letter.
+_PLAIN_BELOW = "\u0250"
 Slots = list[tuple[tuple[int, ...], int]]
 
 
@@ -48,40 +52,81 @@ class WordIds(dict):
     its words in turn. Holds at most twice ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 120_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 250_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        #: The merges alone: lower-case ASCII letters pass all steps ahead of them unchanged.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.limit = limit
         self.older: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether each id ends a word; None where the vocabulary does not tell.
+        self.ends: np.ndarray | None = None
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def learn(self, words: set[bytes]) -> None:
+        """Makes the ids of lower-cased ``words`` known."""
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
+        fresh = words.difference(self)
+        older = fresh.intersection(self.older)
+        self.update(zip(older, map(self.older.__getitem__, older)))
+        fresh.difference_update(older)
+        plain: set[bytes] = set()
+        other: set[bytes] = set()
         joint: list[tuple[bytes, bytes, bytes]] = []
-        fresh = set()
-        for word in words:
-            if word in self:
-                continue
-            if word in self.older:
-                self[word] = self.older[word]
+        for word in fresh:
+            if word.isalpha():  # ASCII letters only
+                plain.add(word)
                 continue
             core = word.rstrip(_MARKS)
-            if len(core) < len(word) and core.decode("utf-8", "replace").isalpha():
-                # Letters and marks after them are tokenized apart.
+            if not core.isalpha():
+                text = core.decode("utf-8", "replace").lower()
+                if not text.isalpha() or max(text) >= _PLAIN_BELOW:
+                    other.add(word)
+                    continue
+            plain.add(core)
+            if len(core) < len(word):  # letters and marks after them are tokenized apart
                 joint.append((word, core, word[len(core) :]))
-                fresh.update(x for x in joint[-1][1:] if x not in self)
-            else:
-                fresh.add(word)
-        self._tokenize([w for w in fresh if w not in self.older])
-        for word in fresh & self.older.keys():
-            self[word] = self.older[word]
+        other.update({marks for _, _, marks in joint})
+        for held in (plain, other):
+            held.difference_update(self)
+            older = held.intersection(self.older)
+            self.update(zip(older, map(self.older.__getitem__, older)))
+            held.difference_update(older)
+        ascii_ = {word for word in plain if word.isascii()}
+        self._apart(list(ascii_), self.bare)
+        self._apart(list(plain - ascii_), self.tokenizer)
+        self._tokenize(list(other))
         for word, core, marks in joint:
             self[word] = self[core] + self[marks]
 
+    def _apart(self, words: list[bytes], tokenizer, joined: int = 256) -> None:  # noqa: ANN001
+        """Words of letters only, many in one text: each ends with a token that ends a word."""
+        if self.ends is None:
+            self._tokenize(words)
+            return
+        parts = [words[k : k + joined] for k in range(0, len(words), joined)]
+        got = tokenizer.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False)
+        for part, one in zip(parts, got, strict=True):
+            ids = np.array(one.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                self._tokenize(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(part, cuts):
+                self[word] = raw[at:cut]
+                at = cut
+
     def _tokenize(self, fresh: list[bytes]) -> None:
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
@@ -122,9 +167,9 @@ def pieces(docs: DataFrame, path: str, size: int, id_col: str = "doc_id", text_c
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                split = [x.as_py().split() for x in some.column(1)]
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024)
+                split = [x.as_py().lower().split() for x in some.column(1)]  # the tokenizer lower-cases too
                 held.learn(set().union(*split))
                 at: list[int] = []
                 out: list[tuple[int, int, int, int, int]] = []
@@ -166,44 +211,76 @@ def _priced(gain: np.ndarray, size: int) -> set[tuple[int, ...]]:
     return out
 
 
+def _least_squares(index: np.ndarray, start: np.ndarray, target: np.ndarray, steps: int) -> np.ndarray:
+    """Counts whose sum of patterns is nearest to ``target``, by conjugate gradients.
+
+    Row k of ``index`` has the lengths of pattern k; place 0 stands for none.
+    """
+    size = len(target)
+
+    def lengths_of(counts: np.ndarray) -> np.ndarray:
+        out = np.bincount(index.ravel(), np.repeat(counts, index.shape[1]), minlength=size)
+        out[0] = 0
+        return out
+
+    x = start.copy()
+    miss = target - lengths_of(x)
+    down = miss[index].sum(axis=1)
+    way, norm = down.copy(), float(down @ down)
+    least = 1e-12 * max(1.0, norm)
+    for _ in range(steps):
+        if norm <= least:
+            break
+        moved = lengths_of(way)
+        step = norm / float(moved @ moved)
+        x += step * way
+        miss -= step * moved
+        down = miss[index].sum(axis=1)
+        before, norm = norm, float(down @ down)
+        way = down + norm / before * way
+    return x
+
+
 def _fitted(histogram: np.ndarray, size: int, rounds: int, steps: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
-    """Patterns and non-negative repeat counts that best reproduce the histogram."""
-    pool: list[tuple[int, ...]] = []
-    known: set[tuple[int, ...]] = set()
-    counts = np.zeros(0)
+    """Patterns and non-negative repeat counts that best reproduce the histogram.
+
+    Active-set non-negative least squares (Lawson and Hanson, 1974) with priced
+    columns: each round the patterns of greatest gain that share no length enter
+    the set, the set is solved without bounds, and while a count comes out
+    negative, the step stops at the first bound met and that pattern leaves. So
+    the solution is sparse: no more patterns than it needs.
+    """
     target = histogram.astype(float).copy()
-    target[size] = 0
-    scale = max(target.max(), 1.0)
-    target /= scale
+    target[size] = 0  # whole sequences already
+    pool = np.zeros((0, 4), np.int64)
+    counts = np.zeros(0)
     for _ in range(rounds):
-        index = np.zeros((len(pool), 4), np.int64)
-        for k, pattern in enumerate(pool):
-            index[k, : len(pattern)] = pattern
-        fit = np.bincount(index.ravel(), np.repeat(counts, 4), minlength=size + 1) if pool else np.zeros(size + 1)
+        fit = np.bincount(pool.ravel(), np.repeat(counts, 4), minlength=size + 1)
         gain = target - fit
-        gain[(target == 0)] = -1.0  # lengths that do not occur
+        gain[target == 0] = -1.0 - target.max()  # lengths that do not occur
         gain[0] = 0.0
-        new = [p for p in sorted(_priced(gain, size)) if p not in known]
+        used, new = np.zeros(size + 1, bool), []
+        known = set(map(tuple, pool.tolist()))
+        for pattern in sorted(_priced(gain, size), key=lambda p: (-gain[list(p)].sum() / len(p), p)):
+            row = (*pattern, *[0] * (4 - len(pattern)))
+            if gain[list(pattern)].sum() > 0.5 and not used[list(pattern)].any() and row not in known:
+                used[list(pattern)] = True
+                new.append(row)
         if not new:
             break
-        known.update(new)
-        pool += new
+        pool = np.concatenate([pool, np.array(new, np.int64)])
         counts = np.concatenate([counts, np.zeros(len(new))])
-        index = np.zeros((len(pool), 4), np.int64)
-        for k, pattern in enumerate(pool):
-            index[k, : len(pattern)] = pattern
-        # Projected gradient with momentum; place 0 stands for no length.
-        spread = np.bincount(index.ravel(), minlength=size + 1).astype(float)
-        spread[0] = 0
-        step = 1.0 / max(1.0, float(spread[index].sum(axis=1).max()))
-        point, previous = counts.copy(), counts.copy()
-        for k in range(steps):
-            miss = np.bincount(index.ravel(), np.repeat(point, 4), minlength=size + 1) - target
-            miss[0] = 0
-            counts = np.maximum(0.0, point - step * miss[index].sum(axis=1))
-            point = counts + k / (k + 3) * (counts - previous)
-            previous = counts
-    return pool, counts * scale
+        while len(pool):
+            free = _least_squares(pool, counts, target, steps)
+            below = free <= 1e-9
+            if not below.any():
+                counts = free
+                break
+            share = float((counts[below] / np.maximum(counts[below] - free[below], 1e-12)).min())
+            counts = counts + min(1.0, share) * (free - counts)
+            stay = ~(below & (counts <= 1e-9))
+            pool, counts = pool[stay], np.maximum(counts[stay], 0.0)
+    return [tuple(x for x in row if x) for row in pool.tolist()], counts
 
 
 def _best_fit(left: np.ndarray, size: int) -> Slots:
@@ -244,15 +321,18 @@ def _best_fit(left: np.ndarray, size: int) -> Slots:
     return [(pattern, n) for free in rooms for pattern, n in room[free]]
 
 
-def plan(histogram: np.ndarray, size: int, rounds: int = 4, steps: int = 300) -> Slots:
-    """Patterns and how many sequences follow each, for counts by length (index 0 unused)."""
+def plan(histogram: np.ndarray, size: int, rounds: int = 16, steps: int = 200) -> tuple[Slots, int]:
+    """Patterns and how many sequences follow each, for counts by length (index 0 unused).
+
+    The second value is how many of the slots, the first ones, are fitted patterns.
+    """
     pool, counts = _fitted(histogram, size, rounds, steps)
-    best: Slots | None = None
-    for share in (1.0, 0.9, 0.75, 0.5, 0.0):
+    best: tuple[Slots, int] | None = None
+    for share in (1.0, 0.9, 0.75, 0.5):
         left = histogram.astype(np.int64).copy()
         chosen: Slots = []
         for k in np.argsort(-counts, kind="stable"):
-            want = int(counts[k] * share)
+            want = int(counts[k] * share + 0.5)
             if want == 0:
                 continue
             need = {x: pool[k].count(x) for x in pool[k]}
@@ -261,10 +341,10 @@ def plan(histogram: np.ndarray, size: int, rounds: int = 4, steps: int = 300) ->
                 chosen.append((pool[k], want))
                 for x, c in need.items():
                     left[x] -= c * want
-        chosen += _best_fit(left, size)
-        if best is None or sum(n for _, n in chosen) < sum(n for _, n in best):
-            best = chosen
-    return best or []
+        slots = chosen + _best_fit(left, size)
+        if best is None or sum(n for _, n in slots) < sum(n for _, n in best[0]):
+            best = slots, len(chosen)
+    return best or ([], 0)
 
 
 @dataclass(frozen=True)
@@ -273,9 +353,11 @@ class Places:
 
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     sequences: int
+    #: Sequences below this number follow fitted patterns.
+    fitted: int
 
     @classmethod
-    def of(cls, slots: Slots) -> Places:
+    def of(cls, slots: Slots, patterns: int) -> Places:
         found: dict[int, list[tuple[int, int, int]]] = {}
         taken: dict[int, int] = {}
         base = 0
@@ -287,7 +369,7 @@ class Places:
                 taken[length] = rank + n
                 offset += length
             base += n
-        return cls({k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in found.items()}, base)
+        return cls({k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in found.items()}, base, sum(n for _, n in slots[:patterns]))
 
     def at(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -303,23 +385,23 @@ class Places:
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """One row per piece, with its sequence and the offset there."""
+    """One row per piece, with its sequence, the offset there, and whether a fitted pattern placed it."""
     staged = materialize(pieces(docs, path, size, id_col, text_col, end_id), "pack-pieces")
     counts = staged.groupBy("__part", "length").agg(F.count("*").alias("__n"))
     histogram = np.zeros(size + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect():  # at most ``size`` rows
         histogram[row["length"]] = row["n"]
-    places = docs.sparkSession.sparkContext.broadcast(Places.of(plan(histogram, size)))
+    places = docs.sparkSession.sparkContext.broadcast(Places.of(*plan(histogram, size)))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__part", "length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     ranked = staged.join(bases, ["__part", "length"]).select(
         "__id", "piece", "start", "length", "ids_crc32", (F.col("__base") + F.col("__local")).alias("__rank")
     )
-    schema = ranked.drop("__rank").schema.add("sequence_id", "long").add("offset", "long")
+    schema = ranked.drop("__rank").schema.add("sequence_id", "long").add("offset", "long").add("fitted", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = places.value.at(batch.column(3).to_numpy(), batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), pa.array(sequence < places.value.fitted)], names=schema.names)
 
     return ranked.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
