@@ -9,13 +9,15 @@ fingerprints collide: every pair within the radius meets, none is missed.
 
 Equal fingerprints are one row from the start. A bucket with over ``bucket``
 distinct fingerprints is covered a second time by the positions that its table
-leaves free; then at most 2^12 can agree (for 64 bits and radius 2), so no task
-gathers an unbounded group, and nothing is capped. Within a bucket, distances
+leaves free; then at most 2^12 can agree (for 64 bits and radius 2; 2^16 for
+radius 5), so no task gathers an unbounded group, and nothing is capped. Within a bucket, distances
 are compared in numpy blocks and one link to the least member of each connected
 part comes out, never all pairs.
 
 Defined cases: a null text counts as empty; one without a word has fingerprint
-zero and is linked like any other; a null id takes the class of its fingerprint
+zero and is linked like any other; very long texts are hashed whole, one at a
+time; a bit set in exactly half of the shingles is not set, and fingerprints that
+tie are one; a null id takes the class of its fingerprint
 but never names one (a class of null ids alone has a null id); repeated rows
 share a class; an empty table gives an empty table; other columns are not read.
 """
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
@@ -96,11 +98,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(rows: DataFrame, masks: list[list[int]], table: Column, names: tuple[str, str]) -> DataFrame:
-    """One row per mask; ``table`` picks which list of masks holds for a row."""
-    lists = [F.array(*[F.struct(F.lit(i).alias(names[0]), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias(names[1])) for i, m in enumerate(part)]) for part in masks]
-    chosen = lists[0] if len(lists) == 1 else F.element_at(F.array(*lists), table + 1)
-    return rows.select("*", F.explode(chosen).alias("__k")).select(*rows.columns, f"__k.{names[0]}", f"__k.{names[1]}")
+def _keys(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """``fp, t, k``: every fingerprint under every mask."""
+    each = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
+    return fps.select("fp", F.explode(each).alias("__k")).select("fp", "__k.t", "__k.k")
+
+
+def _inner_keys(masks: list[int], radius: int):
+    """``fp, t, k`` of crowded buckets under the masks of what table ``t`` leaves free: adds ``t2, k2``."""
+    table = np.array([covering_masks(radius, [p for p in range(BITS) if not m >> p & 1]) for m in masks], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = table.shape[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                fp, t, k = (batch.column(i).slice(at, 4096).to_numpy() for i in range(3))
+                k2 = fp.view(np.uint64)[:, None] & table[t]
+                t2 = np.tile(np.arange(n, dtype=np.int32), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(fp, n), np.repeat(t, n), np.repeat(k, n), t2, k2.ravel().view(np.int64))], names=["fp", "t", "k", "t2", "k2"])
+
+    return run
 
 
 def _linked(values: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
@@ -133,12 +150,11 @@ def _bucket_links(radius: int):
 
 def _links(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
     masks = covering_masks(radius, list(range(BITS)))
-    keys = _keys(fps.select("fp"), [masks], F.lit(0), ("t", "k"))
+    keys = _keys(fps.select("fp"), masks)
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(sizes, ["t", "k"])
     small = met.where(F.col("n") <= bucket).groupBy("t", "k").agg(F.collect_list("fp").alias("v")).select("v")
-    inner = [covering_masks(radius, [p for p in range(BITS) if not m >> p & 1]) for m in masks]
-    large = _keys(met.where(F.col("n") > bucket), inner, F.col("t"), ("t2", "k2"))
+    large = met.where(F.col("n") > bucket).select("fp", "t", "k").mapInArrow(_inner_keys(masks, radius), "fp long, t int, k long, t2 int, k2 long")
     large = large.groupBy("t", "k", "t2", "k2").agg(F.collect_list("fp").alias("v")).where(F.size("v") > 1).select("v")
     return small.union(large).mapInArrow(_bucket_links(radius), "a long, b long")
 

@@ -24,7 +24,9 @@ as needed down to single windows, which are all equal. So no task gathers an
 unbounded group, whatever share of the corpus holds a passage.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose
-nothing; repeated rows repeat all their windows, so from ``length`` bytes on they
+nothing; very long texts are cut into slices like any other, and no array holds
+more than ``chunk`` bytes beyond one key's items; of equal least hashes in a
+window the first is the anchor, so ties cut equal windows alike; repeated rows repeat all their windows, so from ``length`` bytes on they
 lose all; an empty table gives an empty table; other columns are not read. Rows
 are known by a 64-bit hash of id and text, and blocks by one of their bytes.
 """
@@ -32,6 +34,7 @@ are known by a 64-bit hash of id and text, and blocks by one of their bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -341,13 +344,18 @@ def _finer(spread: int, width: int):
     return run
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as the session shuffles to: items are small, the work on them is not."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _resolve(items: DataFrame, spread: int, widths: list[int], group: int, chunk: int) -> DataFrame:
     """``key, ctx, runs``, one row per slice that has windows which occur elsewhere."""
     sizes = items.groupBy("key").agg(F.count_distinct("ctx").alias("n"))
     large = materialize(sizes.where(F.col("n") > group).select("key"), "large-keys")
     if large.isEmpty() or spread == 0:
-        return items.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(spread, chunk), _RUNS)
-    small = items.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+        return items.repartition(_tasks(items), "key").sortWithinPartitions("key").mapInArrow(_repeats(spread, chunk), _RUNS)
+    small = items.join(large, "key", "left_anti").repartition(_tasks(items), "key").sortWithinPartitions("key")
     done = small.mapInArrow(_repeats(spread, chunk), _RUNS)
     width = widths[0]
     finer = items.join(large, "key", "left_semi").dropDuplicates(["key", "ctx"])
@@ -390,7 +398,24 @@ def repeated_spans(docs: DataFrame, rid: Column, text_col: str, length: int, sli
     return whole.union(part), rows
 
 
-def _apply(names: list[str], with_text: bool):
+_SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]")
+
+
+def _whole_words(data: bytes, s: int, e: int) -> tuple[int, int]:
+    """The part of a stretch that holds whole words only; empty if there is none."""
+    if s and not _SPACE.match(data, s) and not _SPACE.match(data, s - 1):
+        cut = _SPACE.search(data, s, e)
+        s = cut.start() if cut else e
+    if s < e < len(data) and not _SPACE.match(data, e) and not _SPACE.match(data, e - 1):
+        last = None
+        for last in _SPACE.finditer(data, s, e):
+            pass
+        e = last.end() if last else s
+    word = _WORD.search(data, s, e)
+    return (word.start() if word else e), e  # white space ahead stays, to part the words around
+
+
+def _apply(names: list[str], with_text: bool, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -403,6 +428,8 @@ def _apply(names: list[str], with_text: bool):
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
                         merged.append([s, e])
+                if least_words:
+                    merged = [[s, e] for s, e in (_whole_words(data, *x) for x in merged) if len(data[s:e].split()) >= least_words]
                 kept, at = [], 0
                 for s, e in merged:
                     kept.append(data[at:s])
@@ -418,13 +445,13 @@ def _apply(names: list[str], with_text: bool):
     return run
 
 
-def _without(docs: DataFrame, carried: list[str], id_col: str, text_col: str, length: int, slices: int, group: int, chunk: int, last: str) -> DataFrame:
+def _without(docs: DataFrame, carried: list[str], id_col: str, text_col: str, length: int, slices: int, group: int, chunk: int, last: str, least_words: int = 0) -> DataFrame:
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
     spans, rows = repeated_spans(docs, rid, text_col, length, slices, group, chunk)
     spans = spans.groupBy("rid").agg(F.collect_set("spans").alias("spans"))
     joined = _packed(rows, ["rid", *carried]).join(spans, "rid", "left").select(*carried, "packed", "spans")
     schema = joined.select(*carried).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(last, "string")
-    return joined.mapInArrow(_apply(schema.names, last == "__text"), schema)
+    return joined.mapInArrow(_apply(schema.names, last == "__text", least_words), schema)
 
 
 def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", slices: int = 3, group: int = 300, chunk: int = 1 << 18) -> DataFrame:
@@ -434,14 +461,17 @@ def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     return got.withColumnRenamed("__id", id_col)
 
 
-def clean(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", slices: int = 3, group: int = 300, chunk: int = 1 << 18) -> DataFrame:
+def clean(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", slices: int = 3, group: int = 300, chunk: int = 1 << 18, least_words: int = 0) -> DataFrame:
     """``docs`` without the covered bytes, in the same columns.
 
+    With ``least_words``, covered runs are first narrowed to whole words, and only
+    those of so many words or more go: passages are then a matter of words, and
+    ``length`` a lower bound of their bytes.
     A character that a cut leaves incomplete goes too. ``chars_col``, where
     present, gets the new text's length.
     """
     rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != text_col]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"))
-    got = _without(rows, ["__row"], "__id", "__t", length, slices, group, chunk, "__text")
+    got = _without(rows, ["__row"], "__id", "__t", length, slices, group, chunk, "__text", least_words)
     out = []
     for x in docs.columns:
         if x == text_col:

@@ -107,23 +107,24 @@ def test_simhash(odd_docs, no_docs):
 
 
 def test_covering_finds_every_pair():
-    masks = simhash.covering_masks(2, list(range(64)))
-    for a in range(64):
-        for b in range(a):
-            assert any(not m >> a & 1 and not m >> b & 1 for m in masks)
+    rnd = random.Random(2)
+    for radius, places in ((2, [[a, b] for a in range(64) for b in range(a)]), (5, [rnd.sample(range(64), 5) for _ in range(2000)])):
+        masks = simhash.covering_masks(radius, list(range(64)))
+        for some in places:
+            assert any(not any(m >> a & 1 for a in some) for m in masks)
 
 
-@pytest.mark.parametrize("bucket", [256, 2])
-def test_crowded_buckets(spark, bucket):
+@pytest.mark.parametrize(("bucket", "radius"), [(256, 2), (2, 2), (256, 5), (2, 5)])
+def test_crowded_buckets(spark, bucket, radius):
     rnd = random.Random(1)
     values = set()
     for _ in range(6):
         x = rnd.getrandbits(64)
-        values |= {x ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(25)} | {x}
+        values |= {x ^ sum(1 << b for b in rnd.sample(range(64), radius)) for _ in range(25)} | {x}
     values = sorted(values)
     fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    got = simhash.connected(simhash._links(fps, 2, bucket)).collect()
-    part = components(len(values), [(i, j) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= 2])
+    got = simhash.connected(simhash._links(fps, radius, bucket)).collect()
+    part = components(len(values), [(i, j) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= radius])
     groups = {}
     for i, p in enumerate(part):
         groups.setdefault(p, set()).add(values[i])
@@ -149,19 +150,70 @@ def test_scores(odd_docs, no_docs):
     assert pitman_yor.score(no_docs, learn).count() == 0
 
 
-def test_words_and_the_unknown_class_add_up(spark):
+@pytest.mark.parametrize("contexts", [2047, 3])
+def test_words_and_the_unknown_class_add_up(spark, contexts):
+    """After any token, the known words, the end and the unknown class have probability 1."""
     rows = [(i, "a b c a b a d" if i % 2 else "a b e f g a") for i in range(12)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    every = spark.createDataFrame([(100 + i, w) for i, w in enumerate([*"abcdefg", "unknown"])], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df.union(every), F.col("doc_id") < 100).collect()}
-    end = [r["score"] for r in pitman_yor.score(df.union(spark.createDataFrame([(100, "")], df.schema)), F.col("doc_id") < 100).where("doc_id = 100").collect()][0]
-    assert abs(sum(10 ** (got[100 + i] - end) for i in range(8)) + 10**end - 1) < 0.05
+    tokens = [*"abcdefg", "unknown"]
+    probes = [(1000 + 100 * k, u) for k, u in enumerate(tokens)] + [(1000 + 100 * k + 1 + j, f"{u} {w}") for k, u in enumerate(tokens) for j, w in enumerate(tokens)]
+    probes += [(5000 + j, w) for j, w in enumerate(tokens)] + [(9000, "")]
+    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
+    settings = pitman_yor.Settings(contexts=contexts)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df, F.col("doc_id") < 100, settings=settings).collect()}
+    # P(u w end) / P(u end) = P(w | u) P(end | w) / P(end | u); solve for P(end | .) by adding up.
+    n = len(tokens)
+    ratio = np.array([[10 ** (got[1000 + 100 * k + 1 + j] - got[1000 + 100 * k]) for j in range(n)] for k in range(n)])
+    # With x_u = 1 / P(end | u): sum over w of ratio[u, w] x_w = x_u (1 - 1 / x_u) = x_u - 1.
+    x = np.linalg.solve(np.eye(n) - ratio, np.ones(n))
+    assert ((1 / x > 0) & (1 / x < 1)).all()
+    start = sum(10 ** got[5000 + j] * x[j] for j in range(n)) + 10 ** got[9000]
+    assert abs(start - 1) < 1e-3
+
+
+def test_the_order_of_words_counts(spark):
+    rows = [(i, "one two three four five six seven eight " * 3) for i in range(20)]
+    probes = [(100, "one two three four five six seven eight"), (101, "eight three one six two seven four five"), (102, "eight seven six five four three two one")]
+    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df, F.col("doc_id") < 100).collect()}
+    assert got[100] > got[101] + 3
+    assert got[100] > got[102] + 3
+
+
+def test_scores_do_not_depend_on_the_layout(spark, odd_docs):
+    learn, scores = split_remainder("doc_id", 10) != 0, []
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = pitman_yor.score(odd_docs.repartition(n), learn, settings=pitman_yor.Settings(contexts=5)).collect()
+            scores.append(sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["score"]) for r in got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert [x[:3] for x in scores[0]] == [x[:3] for x in scores[1]]
+    assert np.allclose([x[3] for x in scores[0]], [x[3] for x in scores[1]], rtol=1e-12, atol=1e-9)
+
+
+def test_contexts_against_loops():
+    """Where every count is one, so is every table, and the process has a closed form."""
+    width, s = 7, pitman_yor.Settings()
+    base = np.array([0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1])
+    seen = {(1, 2): 1, (1, 3): 1, (2, 4): 1, (0, 1): 1}
+    got = pitman_yor.context_matrix(np.array([u * width + w for u, w in seen]), np.ones(len(seen), np.int64), base, s)
+    d = pitman_yor.discount(len(seen), 0)
+    shared = [((1 - d) * sum(w == x for _, w in seen) + (s.strength + d * len(seen)) * base[x]) / (s.strength + len(seen)) for x in range(width)]
+    for u in range(width):
+        here = [w for v, w in seen if v == u]
+        for w in range(width):
+            want = ((1 - d) * (w in here) + (s.strength + d * len(here)) * shared[w]) / (s.strength + len(here))
+            assert abs(got[u, w] - want) < 1e-12
+    rng = np.random.default_rng(3)
+    pairs = rng.permutation(width * width)[:30]
+    assert np.allclose(pitman_yor.context_matrix(pairs, rng.integers(1, 50, 30), base, s).sum(axis=1), 1)
 
 
 def test_seating_keeps_its_customers():
-    rng = np.random.default_rng(0)
     counts = np.array([1, 2, 5, 40, 0, 7])
-    seats = pitman_yor.Seating(counts, np.array([0, 0, 0, 1, 1, 1]), np.full(6, 0.2), 0.5, 1.0, rng)
+    seats = pitman_yor.Seating(counts, np.array([0, 0, 0, 1, 1, 1]), np.full(6, 0.2), 0.5, 1.0, pitman_yor.Draws(np.arange(6), 0))
     for _ in range(50):
         seats.move()
         assert np.bincount(seats.dish, seats.sizes, minlength=6).tolist() == counts.tolist()
@@ -169,6 +221,22 @@ def test_seating_keeps_its_customers():
         assert (seats.tables() >= np.minimum(counts, 1)).all()
 
 
+def test_tables_are_as_many_as_the_process_opens():
+    """Against customers seated one by one, in restaurants of one dish each."""
+    rng, strength, d, count = np.random.default_rng(1), 0.8, 0.5, 12
+    plain = []
+    for _ in range(4000):
+        tables = 1
+        for seated in range(1, count):
+            tables += rng.random() < (strength + d * tables) / (strength + seated)
+        plain.append(tables)
+    n = 4000
+    seats = pitman_yor.Seating(np.full(n, count), np.arange(n), np.ones(n), d, strength, pitman_yor.Draws(np.arange(n), 0))
+    for _ in range(150):
+        seats.move()
+    assert abs(seats.tables().mean() - np.mean(plain)) < 0.15
+
+
 # ------------------------------------------------------------------------- 4
 
 
@@ -240,7 +308,7 @@ def test_plan_uses_each_piece_once(seed):
     rng = np.random.default_rng(seed)
     lengths = np.clip(rng.lognormal(4, 1, 3000).astype(int), 1, 512)
     histogram = np.bincount(lengths, minlength=513)
-    slots = packing.plan(histogram, 512)
+    slots, patterns = packing.plan(histogram, 512)
     used = Counter()
     for pattern, n in slots:
         assert sum(pattern) <= 512
@@ -248,6 +316,33 @@ def test_plan_uses_each_piece_once(seed):
             used[x] += n
     assert used == Counter(lengths.tolist())
     assert sum(n for _, n in slots) <= 1.02 * lengths.sum() / 512 + 1
+    assert all(sum(pattern) == 512 for pattern, _ in slots[:patterns])
+    assert sum(n for _, n in slots[:patterns]) >= 0.3 * sum(n for _, n in slots)
+    assert packing.Places.of(slots, patterns).fitted == sum(n for _, n in slots[:patterns])
+
+
+def test_fit_is_the_least_non_negative_one():
+    """No pattern in the set would gain, and none out of it that pricing finds."""
+    histogram = np.zeros(101, np.int64)
+    for x, n in ((30, 40), (70, 40), (25, 9), (50, 6), (40, 7), (20, 14)):
+        histogram[x] = n
+    pool, counts = packing._fitted(histogram, 100, 50, 500)
+    left = histogram.astype(float)
+    for pattern, n in zip(pool, counts):
+        assert n > 0
+        for x in pattern:
+            left[x] -= n
+    assert all(abs(sum(left[x] for x in pattern)) < 1e-3 for pattern in pool)
+    assert all(sum(left[list(p)]) <= 0.5 for p in [(30, 70), (25, 25, 50), (50, 50), (20, 40, 40), (20, 30, 50), (20, 20, 20, 40), (30, 30, 40), (25, 25, 25, 25)])
+
+
+def test_words_of_letters_are_split_as_alone():
+    words = {"straße", "İx", "ÅNGSTRÖM", "año", "naïve", "don", "ﬁx", "ǆabc", "שּׁ", "日本語", "e\u0301a", "x" * 300, "aaa.", "b!?", "...", "re:ve", "12a"}
+    one, alone = packing.WordIds(tokenizers.path("word_bpe_49k.json")), packing.WordIds(tokenizers.path("word_bpe_49k.json"))
+    data = {w.encode().lower() for w in words}
+    one.learn(data)
+    alone._tokenize(list(data))
+    assert all(one[w] == alone[w] for w in data)
 
 
 # ------------------------------------------------------------------------- 6
@@ -384,6 +479,18 @@ def test_repeats(odd_docs, no_docs, width, group):
     assert suffix_dedup.digest(no_docs).count() == 0
 
 
+def test_repeats_by_words(spark):
+    """Runs go by whole words, and only from the least number of words on."""
+    rnd = random.Random(9)
+    some = lambda n: " ".join(f"w{rnd.randrange(100_000)}" for _ in range(n))
+    long, short, own = some(55), some(45), [some(30) for _ in range(6)]
+    texts = [f"{own[0]} {long} {own[1]}", f"{own[2]}x {long} y{own[3]}", f"{own[4]} {short}", f"{short} {own[5]}"]
+    assert len(long) < 400
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in suffix_dedup.clean(df, 200, least_words=50).collect()}
+    assert got == {0: f"{own[0]} {own[1]}".split(), 1: f"{own[2]}x y{own[3]}".split(), 2: texts[2].split(), 3: texts[3].split()}
+
+
 # ------------------------------------------------------------------------ 10
 
 
