@@ -156,7 +156,7 @@ def same_answer(predicted: Column, truth: Column) -> Column:
     two = normal_answer(F.coalesce(none_if_empty(boxed(predicted)), predicted))
     equal = one == two
     if sympy is not None:
-        equal = F.when(equal, True).otherwise(_symbolically(one, two))
+        equal = equal | _symbolically(F.when(~equal, one), F.when(~equal, two))
     return F.when(text(truth) == "", False).otherwise(F.coalesce(equal, F.lit(False)))
 
 

@@ -41,8 +41,8 @@ def _boxed(responses: pd.Series) -> pd.Series:
 
 
 def boxed(c: Column) -> Column:
-    """Balanced braces need a scan; rows without a box skip it."""
-    return F.when(F.contains(text(c), F.lit("\\boxed")) | F.contains(text(c), F.lit("\\fbox")), _boxed(c))
+    """Balanced braces need a scan; of rows without a box only a null is sent to it."""
+    return _boxed(F.when(F.contains(text(c), F.lit("\\boxed")) | F.contains(text(c), F.lit("\\fbox")), c))
 
 
 def boxed_shallow(c: Column) -> Column:

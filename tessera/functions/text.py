@@ -61,10 +61,15 @@ def as_prompt(instruction: Column, question: Column) -> Column:
     return F.when(text(instruction) != "", F.concat(instruction, F.lit("\n\n"), question)).otherwise(question)
 
 
-def numbered_samples(samples: Column) -> Column:
-    """Samples (structs with input and output) as numbered blocks for a prompt."""
-    one = lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\nInput: "), s["input"], F.lit("\nOutput: "), s["output"])
-    return F.array_join(F.transform(samples, one), "\n\n")
+def numbered_samples(samples: Column, most: int = 20) -> Column:
+    """Instruction and input of the first ``most`` samples as headed blocks for a prompt.
+
+    Outputs are left out so as not to lead the reader.
+    """
+    # The heading, the two limits of length and what stands for an empty field.
+    shown = lambda c, n: F.coalesce(F.left(none_if_empty(c), F.lit(n)), F.lit("N/A"))
+    one = lambda s, i: F.concat(F.lit("### Sample "), (i + 1).cast("string"), F.lit("\n"), shown(s["instruction"], 200), F.lit("\n"), shown(s["input"], 500), F.lit("\n"))
+    return F.array_join(F.transform(F.slice(samples, 1, most), one), "\n")
 
 
 def iteration_history(entries: Column) -> Column:
@@ -85,17 +90,47 @@ def iteration_summaries(entries: Column) -> Column:
     )
 
 
-def feedback_history(entries: Column, shown: int = 500) -> Column:
-    """Earlier feedback as headed blocks, each cut to ``shown`` characters."""
-    one = lambda e: F.concat(F.lit("[Iteration "), e["iteration"].cast("string"), F.lit("] "), F.left(text(e["feedback"]), F.lit(shown)))
-    return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, one), "\n\n")).otherwise("(No previous feedback)")
+def feedback_history(entries: Column) -> Column:
+    """Earlier feedback of (iteration, feedback) as headed blocks, whole; empty ones are passed over."""
+    kept = F.filter(entries, lambda e: text(e["feedback"]) != "")
+    one = lambda e: F.concat(F.lit("[Iteration "), F.coalesce(e["iteration"].cast("string"), F.lit("?")), F.lit(" Feedback]\n"), e["feedback"])
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, one), "\n\n")).otherwise("(No feedback history)")
+
+
+def scaffolding_history(entries: Column) -> Column:
+    """Earlier scaffolding of (iteration, summary, artifacts) as headed lines."""
+
+    # Headings, the limits of length, and artifacts shown of an iteration.
+    def artifact(a: Column, i: Column) -> Column:
+        kind = F.coalesce(a["skill_type"], F.lit("Unknown"))
+        return F.concat(F.lit("\n  Artifact "), (i + 1).cast("string"), F.lit(" ("), kind, F.lit("): "), F.left(text(a["target_objective"]), F.lit(100)))
+
+    def one(e: Column) -> Column:
+        head = F.concat(F.lit("\n[Iteration "), F.coalesce(e["iteration"].cast("string"), F.lit("?")), F.lit("]"))
+        summary = F.when(text(e["summary"]) != "", F.concat(F.lit("\nSummary: "), F.left(e["summary"], F.lit(500)))).otherwise("")
+        shown = F.coalesce(F.array_join(F.transform(F.slice(e["artifacts"], 1, 2), artifact), ""), F.lit(""))
+        return F.concat(head, summary, shown)
+
+    return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, one), "\n")).otherwise("(No scaffolding history)")
 
 
 def guided_attempts(entries: Column) -> Column:
-    """Guidance and attempt blocks of (guidance, response, is_correct), up to the first correct one."""
+    """Guidance and attempts of (feedback, response, is_correct), up to the first correct one.
+
+    ``feedback`` is an array of questions; the first attempt shows none.
+    """
     first = F.array_position(F.transform(entries, lambda e: F.coalesce(e["is_correct"], F.lit(False))), True)
     kept = F.slice(entries, F.lit(1), F.when(first > 0, first).otherwise(F.size(entries)).cast("int"))
-    one = lambda e: F.concat(
-        F.when(text(e["guidance"]) != "", F.concat(F.lit("[Guidance]\n"), e["guidance"], F.lit("\n\n"))).otherwise(""), F.lit("[Attempt]\n"), text(e["response"])
-    )
+
+    def one(e: Column, i: Column) -> Column:
+        asked = F.array_join(F.transform(e["feedback"], lambda q: F.concat(F.lit("- "), q)), "\n")
+        guidance = F.when((i > 0) & (F.size(e["feedback"]) > 0), F.concat(F.lit("[Guidance]\n"), asked, F.lit("\n\n"))).otherwise("")
+        return F.concat(F.coalesce(guidance, F.lit("")), F.lit("[Solution Attempt]\n"), text(e["response"]))
+
     return F.array_join(F.transform(kept, one), "\n\n")
+
+
+def latest_summary(entries: Column) -> Column:
+    """The summary of the last of an ordered array of (iteration, summary) that has one."""
+    kept = F.filter(entries, lambda e: text(e["summary"]) != "")
+    return F.try_element_at(kept, F.lit(-1))["summary"]

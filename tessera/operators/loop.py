@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,28 +65,39 @@ def history(iterations: DataFrame, key: str, order: str, *fields: str) -> DataFr
     return iterations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("iteration"), *fields))).alias("history"))
 
 
-def respond(rows: DataFrame, prompt: str, factory: Callable[[], Model], attempts: int = 3, name: str = "response") -> DataFrame:
-    """Adds a model's response, and the error of a batch that failed ``attempts`` times.
+def respond(rows: DataFrame, prompt: str, factory: Callable[[], Model], attempts: int = 3, name: str = "response", backoff: float = 0.0) -> DataFrame:
+    """Adds a model's response, and the error of a question that failed ``attempts`` times.
 
-    The model is made once per task. Rows of a failed batch carry its error, cut
-    short, and no response, so one bad batch does not end the run.
+    The model is made once per task and asked in batches. A batch that fails is
+    asked again question by question, so one bad question ends neither the run
+    nor its neighbours; between attempts at one question ``backoff`` seconds pass,
+    twice as many each time. A failed question carries its error, cut short.
     """
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType()), T.StructField("error", T.StringType())])
 
+    def alone(model: Model, one: pd.Series) -> tuple[str | None, str | None]:
+        error = None
+        for k in range(attempts):
+            try:
+                return model(one).iloc[0], None
+            except Exception as failed:  # noqa: BLE001  isolate whatever the model raises
+                error = str(failed)
+                if backoff and k + 1 < attempts:
+                    time.sleep(backoff * 2**k)
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for batch in batches:
-            error = None
-            for _ in range(attempts):
-                try:
-                    yield batch.assign(**{name: model(batch[prompt]), "error": None})
-                    break
-                except Exception as failed:  # noqa: BLE001  isolate whatever the model raises
-                    error = str(failed)
-            else:
-                yield batch.assign(**{name: None, "error": error})
+            try:
+                yield batch.assign(**{name: model(batch[prompt]), "error": None})
+                continue
+            except Exception:  # noqa: BLE001, S110  each question is asked alone below
+                pass
+            got = [alone(model, batch[prompt].iloc[[i]]) for i in range(len(batch))]
+            yield batch.assign(**{name: [r for r, _ in got], "error": [e for _, e in got]})
 
     got = rows.mapInPandas(run, schema)
     return got.withColumn("error", clip(F.col("error"), 500))

@@ -93,9 +93,9 @@ def asdiv(rows: DataFrame) -> DataFrame:
 
 
 def mawps(rows: DataFrame) -> DataFrame:
-    """The result, or its float form where there is none."""
-    held = [F.col(c).cast("string") for c in ("result", "result_float") if c in rows.columns]
-    out = record(rows, _prompt("math"), F.col("question"), answer_output(F.coalesce(*held)), meta(id=F.col("id"), equation=F.col("equation"), expression=F.col("expression")))
+    """The result, or its float form in data without that column."""
+    held = next((F.col(c).cast("string") for c in ("result", "result_float") if c in rows.columns), F.lit(""))
+    out = record(rows, _prompt("math"), F.col("question"), answer_output(held), meta(id=F.col("id"), equation=F.col("equation"), expression=F.col("expression")))
     return out.where(text(F.col("input")) != "")
 
 

@@ -64,6 +64,24 @@ def global_thirds(rows: DataFrame, length: Column, id_col: str = "id") -> DataFr
     return whole.union(part).withColumn("third", third.cast("int")).select(*rows.columns, "third")
 
 
+def places(rows: DataFrame, length_col: str, id_col: str, buckets: int = 64) -> DataFrame:
+    """``place``: the position (from 0) by length, then id, of any number of rows.
+
+    Each length is cut at quantiles of its ids into up to ``buckets`` ranges, so
+    a length that very many rows share is ranked in parts; offsets come from
+    counts per length and range, which are few beside rows.
+    """
+    cuts = rows.groupBy(length_col).agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
+    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(id_col)))
+    # Lengths and ids are equal null-safely: rows without a length come first.
+    cut = rows.alias("r").join(cuts.withColumnRenamed(length_col, "__len"), F.col(length_col).eqNullSafe(F.col("__len"))).withColumn("__b", F.when(F.col(id_col).isNull(), -1).otherwise(bucket)).drop("__cuts", "__len")
+    counts = cut.groupBy(F.col(length_col).alias("__l"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    starts = counts.select("__l", "__c", F.coalesce(F.sum("__n").over(Window.orderBy("__l", "__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy(length_col, "__b").orderBy(id_col))
+    met = cut.withColumn("__r", rank).join(starts, F.col(length_col).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c")))
+    return met.select(*rows.columns, (F.col("__start") + F.col("__r") - 1).alias("place"))
+
+
 def diverse_sample(rows: DataFrame, k: int, length: Column, id_col: str = "id", seed: int = 42, pool: int = POOL) -> DataFrame:
     """Shares of ``k`` from the length thirds of a random pool; a short third is not topped up."""
     held = thirds(random_sample(rows, pool, id_col, seed), length, None, id_col)

@@ -53,6 +53,12 @@ def legacy_case(case: Column, correct: Column) -> Column:
     return F.coalesce(F.try_element_at(named, case), F.when(case.isin(*registry.LEGACY_CASES.values(), registry.SKIPPED), case), F.when(correct, registry.CASE_A))
 
 
+def renamed_case(case: Column, correct: Column) -> Column:
+    """A case under its current name; an old B that was not correct is a C, other names stay."""
+    named = F.create_map(*[F.lit(x) for p in registry.LEGACY_CASES.items() for x in p])
+    return F.when((case == "B") & ~F.coalesce(correct, F.lit(False)), registry.CASE_C).otherwise(F.coalesce(F.try_element_at(named, case), case))
+
+
 def report(scores: DataFrame, model: str, dataset: str, variant: str, score: str, variants: tuple[str, str]) -> DataFrame:
     """Per model the mean over datasets before and after, and the difference; all models as a last row."""
     wide = scores.groupBy(model, dataset).pivot(variant, list(variants)).agg(F.avg(score))

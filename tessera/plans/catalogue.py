@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, jsonfix, markup, scaffold, text
 from ..operators import loop, prepare, resume, sample, sft, stats
+from ..sources import records
+from ..session import work_path
 from . import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,8 +120,10 @@ LOG = f"""log AS (SELECT CASE WHEN user_id % 7 <> 0 THEN CAST(user_id AS VARCHAR
 
 @query(f"WITH {REC} SELECT id, instruction, output, type, level, 'q_train_' || id AS question_id, CAST(n_chars AS VARCHAR) AS truth FROM rec")
 def scan_project_record(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d)
-    return r.select("id", "instruction", "output", "type", "level", F.concat(F.lit("q_train_"), F.col("id").cast("string")).alias("question_id"), answers.ground_truth(F.col("output")).alias("truth"))
+    r = _records(spark, d).withColumn("metadata", F.create_map(F.lit("type"), "type", F.lit("level"), "level"))
+    q = records.questions(r, "q", "train", "id")
+    held = q.select(F.col("pos").alias("id"), "instruction", F.col("ground_truth_formatted").alias("output"), "metadata", "question_id", F.col("ground_truth").alias("truth"))
+    return held.select("id", "instruction", "output", F.col("metadata")["type"].alias("type"), F.col("metadata")["level"].alias("level"), "question_id", "truth")
 
 
 @query(f"WITH {REC} SELECT id, type, 'Solve it' AS goal, 'Read; solve' AS analysis FROM rec")
@@ -139,10 +143,7 @@ def limit_topn(spark: SparkSession, d: str) -> DataFrame:
 def sort_length(spark: SparkSession, d: str) -> DataFrame:
     """Position by length: offsets per length, then ranks within one length only."""
     rows = _t(spark, d, "documents").select("doc_id", "n_chars")
-    counts = rows.groupBy("n_chars").agg(F.count("*").alias("n"))
-    starts = counts.select("n_chars", F.coalesce(F.sum("n").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
-    return rows.withColumn("r", rank).join(starts, "n_chars").select("doc_id", "n_chars", (F.col("start") + F.col("r") - 1).alias("place"))
+    return sample.places(rows, "n_chars", "doc_id")
 
 
 # -------------------------------------------------------- extraction, grading
@@ -352,10 +353,10 @@ def gsm_split(spark: SparkSession, d: str) -> DataFrame:
     flag = F.concat(F.lit("ship "), F.col("l_returnflag"), F.col("l_linestatus"))
     n = F.col("l_partkey").cast("string")
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("Q").alias("question"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(flag, F.lit("\n#### "), n)).otherwise(n).alias("answer"))
-    parts, marked = F.split("answer", "####"), F.contains(F.col("answer"), F.lit("####"))
-    answer = F.when(marked, text.strip(F.get(parts, F.lit(1)))).otherwise(F.col("answer"))
-    why = F.when(marked, text.strip(F.get(parts, F.lit(0)))).otherwise("")
-    return rows.select("l_orderkey", "l_linenumber", F.col("question").alias("input"), prepare.answer_output(answer, why).alias("output"))
+    key = F.concat_ws(",", "l_orderkey", "l_linenumber")
+    got = prepare.gsm8k(rows.select(F.concat_ws("|", key, "question").alias("question"), "answer"), reasoning=True)
+    parts = F.split("input", r"[,|]")  # the key travels in the question
+    return got.select(parts[0].cast("bigint").alias("l_orderkey"), parts[1].cast("bigint").alias("l_linenumber"), parts[2].alias("input"), "output")
 
 
 @query(r"""SELECT text AS problem, 'The answer is \boxed{' || CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) ELSE 'See solution' END || '}' AS output, lang AS subtask FROM documents""")
@@ -457,11 +458,9 @@ def running_counters(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_custkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS hot, CAST(count(*) FILTER (WHERE l_returnflag <> 'R') AS BIGINT) AS lot
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
 def hot_lot_counts(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("l_returnflag") == "R", "HOT").otherwise("LOT")
-    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(kind.alias("skill_type"))).alias("artifacts"))
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("h"), F.count_if(F.col("l_returnflag") != "R").alias("l"))
     per = lines.join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    hot, lot = stats.skill_counts(F.array(F.struct("artifacts")))
-    return per.select("o_custkey", hot.alias("h"), lot.alias("l")).groupBy("o_custkey").agg(F.sum("h").alias("hot"), F.sum("l").alias("lot"))
+    return per.groupBy("o_custkey").agg(F.sum("h").alias("hot"), F.sum("l").alias("lot"))
 
 
 @query("""WITH s AS (SELECT lang, source, n_chars % 2 AS variant, avg(n_chars) AS score FROM documents GROUP BY ALL),
@@ -554,11 +553,14 @@ def strip_format(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.without_response_format(body).alias("instruction"))
 
 
-@query("""SELECT string_agg('[' || p || ']' || chr(10) || 'Input: ' || text || chr(10) || 'Output: ' || item_id, chr(10) || chr(10) ORDER BY p) AS prompt FROM (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS p FROM benchmark ORDER BY item_id LIMIT 5)""")
+@query("""SELECT string_agg('### Sample ' || p || chr(10) || CASE WHEN p % 2 = 0 THEN repeat('Read. ', 33) || 'Re' ELSE 'N/A' END || chr(10) || left(text, 500) || chr(10), chr(10) ORDER BY p) AS prompt
+FROM (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS p FROM benchmark ORDER BY item_id LIMIT 20)""")
 def sample_prompt(spark: SparkSession, d: str) -> DataFrame:
-    few = _t(spark, d, "benchmark").orderBy("item_id").limit(5)
-    held = few.agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("text").alias("input"), F.col("item_id").cast("string").alias("output")))).alias("s"))
-    return held.select(text.numbered_samples(F.col("s")).alias("prompt"))
+    """Twenty of the first 25 items; every second has an instruction, which is longer than what is shown."""
+    few = _t(spark, d, "benchmark").orderBy("item_id").limit(25)
+    held = few.agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("text").alias("input")))).alias("s"))
+    told = F.transform("s", lambda x, i: F.struct(F.when(i % 2 == 1, F.repeat(F.lit("Read. "), F.lit(50))).alias("instruction"), x["input"].alias("input")))
+    return held.select(text.numbered_samples(told).alias("prompt"))
 
 
 # --------------------------------------------------- model text, JSON, streams
@@ -619,11 +621,22 @@ def _stub_student():  # noqa: ANN202
     return answer
 
 
+def _saved(spark: SparkSession):  # noqa: ANN202
+    """Writes a round to the shared folder, so that a lost executor asks no model twice."""
+    path = work_path(spark, "loop")
+
+    def save(rows: DataFrame, i: int) -> DataFrame:
+        rows.write.parquet(f"{path}/{i}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{i}")
+
+    return save
+
+
 @query("""SELECT i AS iteration, count(*) AS n, CAST(sum(CASE WHEN n_chars % 2 = 0 OR i = 3 THEN 1 ELSE 0 END) AS BIGINT) AS correct
 FROM documents, (SELECT unnest([1, 2, 3]) AS i) WHERE i = 1 OR n_chars % 2 = 1 GROUP BY i""")
 def iterative_loop(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").where("n_chars is not null").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("string").alias("prompt"), F.col("n_chars").cast("string").alias("truth"))
-    held = loop.run_loop(docs, _stub_student, "numeric", lambda df, _: df.persist(), 5)
+    held = loop.run_loop(docs, _stub_student, "numeric", _saved(spark), 5)
     return held.groupBy(F.col("iteration").cast("int").alias("iteration")).agg(F.count("*").alias("n"), F.count_if("is_correct").alias("correct"))
 
 
@@ -634,18 +647,12 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Events replayed as a stream, each user once, counted by kind."""
-    from uuid import uuid4
-
+    """Events replayed as a stream, each user once a kind, then counted by kind."""
     events = _t(spark, d, "events").select("user_id", "event_type")
     rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"log_stream_{uuid4().hex}"
-    seen = rows.dropDuplicates(["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
-    sink = seen.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        sink = sink.option("checkpointLocation", f"{shared}/{name}")
-    run = sink.start()
-    run.awaitTermination()
-    return spark.table(name).select("user_id", "n")
+    path = work_path(spark, "log-stream")
+    run = rows.dropDuplicates(["user_id", "event_type"]).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    run.option("checkpointLocation", f"{path}-state").start(path).awaitTermination()
+    return spark.read.schema(events.schema).parquet(path).groupBy("event_type").agg(F.count("user_id").alias("users"))

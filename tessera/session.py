@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,13 @@ def get_spark(master: str = "local[*]", app: str = "tessera", **conf: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path below spark.checkpoint.dir; only a local session falls back to a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.answers import choices, ground_truth
 from ..functions.text import text
+from ..operators.stats import renamed_case
 from ..plans import registry
 
 
@@ -29,23 +30,39 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType = registry.R
     return whole.select(F.posexplode(parsed).alias(position, "r")).select(position, "r.*")
 
 
+_OLD = T.StructField("phase1_correct", T.BooleanType())
+
+
+def _parsed_as(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, _OLD]) if "scaffolding_correct" in schema.names else schema
+
+
+def _current(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of either form as the current one: the verdict's new name, the cases' new names."""
+    if "scaffolding_correct" not in schema.names:
+        return rows
+    correct = F.coalesce(F.col("scaffolding_correct") | F.col("phase1_correct"), "scaffolding_correct", "phase1_correct")
+    return rows.withColumns({"sft_case": renamed_case(F.col("sft_case"), correct), "scaffolding_correct": correct}).select(*schema.names)
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:
     """Parsable lines of a log; blank and malformed ones are passed over."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     lines = spark.read.text(path).where(F.trim("value") != "")
-    spec = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    spec = T.StructType([*_parsed_as(schema).fields, T.StructField("_bad", T.StringType())])
     parsed = lines.select(F.from_json("value", spec, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
-    return parsed.where("_bad is null").drop("_bad")
+    return _current(parsed.where("_bad is null").drop("_bad"), schema)
 
 
 def json_log(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:
-    """Rows of a finished log: its results, or those of the older form."""
-    held = T.StructType([T.StructField("scaffolding_results", T.ArrayType(schema)), T.StructField("phase1_results", T.ArrayType(schema))])
+    """Rows of a finished log: its results, or those of the older form under their current names."""
+    rows = T.ArrayType(_parsed_as(schema))
+    held = T.StructType([T.StructField("scaffolding_results", rows), T.StructField("phase1_results", rows)])
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", held).alias("r"))
-    return whole.select(F.explode(F.coalesce("r.scaffolding_results", "r.phase1_results")).alias("x")).select("x.*")
+    return _current(whole.select(F.explode(F.coalesce("r.scaffolding_results", "r.phase1_results")).alias("x")).select("x.*"), schema)
 
 
 def any_log(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:
@@ -80,9 +97,22 @@ def load(
         raise ValueError(f"unknown {split} dataset: {dataset}")
     got = questions(json_array(spark, path), dataset, split)
     order = F.col("pos") if shuffle_seed is None else F.md5(F.concat(F.lit(f"{shuffle_seed}:"), F.col("question_id")))
+    if shuffle_seed is None and not limit:
+        return got  # ``pos`` has the order
     return got.orderBy(order).limit(limit) if limit else got.orderBy(order)
 
 
+def projected(questions: DataFrame) -> DataFrame:
+    """What a run takes of each question; the whole output where metadata has it, else the truth."""
+    full = F.try_element_at("metadata", F.lit("full_output"))
+    return questions.select(
+        F.col("question_id").alias("id"),
+        F.coalesce(F.try_element_at("metadata", F.lit("instruction")), F.lit("")).alias("instruction"),
+        F.col("question").alias("input"),
+        F.coalesce(full, "ground_truth_formatted").alias("output"),
+    )
+
+
 def load_split(spark: SparkSession, base: str, domain: str, split: str, dataset: str | None = None, limit: int | None = None) -> DataFrame:
     """Train needs a dataset; test takes the domain's first evaluation set unless told."""
     if split == "train" and dataset is None:

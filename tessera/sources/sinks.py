@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from .records import any_log, exists, json_lines
+from ..plans import registry
+from .records import any_log, exists, json_array, json_lines
 
 
 def _path(spark: SparkSession, path: str):  # noqa: ANN202
@@ -57,9 +58,33 @@ def export_array(rows: DataFrame, path: str, order: str | None = None) -> None:
         out.close()
 
 
+def _stream_log(rows: DataFrame, path: str, summary: dict) -> None:
+    """A finished log over what was there; rows pass through the driver one partition at a time."""
+    spark = rows.sparkSession
+    where, system = _path(spark, path)
+    part, _ = _path(spark, f"{path}.part")
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(b'{"scaffolding_results": ['))
+        for i, row in enumerate(rows.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator()):
+            out.write(bytearray(((",\n" if i else "\n") + row["line"]).encode()))
+        out.write(bytearray(f'\n], "statistics": {json.dumps(summary)}, "is_complete": true}}'.encode()))
+    finally:
+        out.close()
+    system.delete(where, False)
+    system.rename(part, where)
+
+
+def write_meta(rows: DataFrame, path: str, complete: bool = False) -> None:
+    """The small file beside a log: its statistics and whether the run is complete."""
+    summary = stats.case_statistics(rows).first().asDict()
+    write_object(rows.sparkSession, path.removesuffix(".json") + "_meta.json", {"statistics": summary, "is_complete": complete})
+
+
 def finalise(spark: SparkSession, path: str, state: DataFrame | None = None) -> str:
-    """End a run: the line log becomes the final log and goes; without one, the
-    final log's statistics are renewed; without either, ``state`` is written.
+    """End a run: the line log becomes the final log and goes with its meta file;
+    without one, the final log's statistics are renewed; without either, ``state``
+    is written, or no result where there is none.
 
     Returns which of the three it was. Counters are recomputed from rows with
     distinct ids, so a line written twice counts once.
@@ -70,16 +95,28 @@ def finalise(spark: SparkSession, path: str, state: DataFrame | None = None) ->
     elif exists(spark, path):
         kind, rows = "final", any_log(spark, path)
     else:
-        kind, rows = "state", state
-    rows = rows.cache()
-    try:
-        summary = stats.case_statistics(rows).first().asDict() if rows is not None else {}
-        body = [r["line"] for r in rows.select(F.to_json(F.struct("*")).alias("line")).collect()]
-    finally:
-        rows.unpersist()
-    results = ",\n".join(body)
-    write_text(spark, path, f'{{"scaffolding_results": [\n{results}\n], "statistics": {json.dumps(summary)}, "is_complete": true}}')
+        kind, rows = "state", spark.createDataFrame([], registry.RESULT) if state is None else state
+    _stream_log(rows, path, stats.case_statistics(rows).first().asDict())
     if kind == "lines":
-        where, system = _path(spark, lines)
-        system.delete(where, True)
+        for one in (lines, path.removesuffix(".json") + "_meta.json"):
+            where, system = _path(spark, one)
+            system.delete(where, True)
     return kind
+
+
+def finished(spark: SparkSession, path: str, training: str) -> bool:
+    """Whether a run has nothing left to do: both results are there, no line log, and it is marked complete."""
+    if exists(spark, path.removesuffix(".json") + ".jsonl") or not (exists(spark, path) and exists(spark, training)):
+        return False
+    held = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.is_complete").alias("c")).first()
+    return held is not None and held["c"] == "true"
+
+
+def evaluations(rows: DataFrame, path: str) -> None:
+    """Evaluation results as one file per run, written once for a batch and not after every question."""
+    export_array(rows, path, "question_id")
+
+
+def prior_evaluations(spark: SparkSession, path: str, schema) -> DataFrame:  # noqa: ANN001
+    """Results of an earlier evaluation, to be resumed; none where there is no file."""
+    return json_array(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema).withColumn("pos", F.lit(0))

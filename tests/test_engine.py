@@ -224,3 +224,55 @@ def test_stream_counts_an_id_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["q0", "q1"]
 
 
+
+
+def test_one_bad_question_fails_alone(spark):
+    """Its neighbours in the batch are answered; it is asked ``attempts`` times with pauses between."""
+    from tessera.operators import loop
+
+    def factory():
+        def model(prompts):
+            if prompts.str.contains("bad").any():
+                raise ValueError("no " * 400)
+            return "re: " + prompts
+
+        return model
+
+    rows = spark.createDataFrame([(i, "bad" if i == 3 else f"p{i}") for i in range(8)], "id long, prompt string").coalesce(1)
+    got = {r["id"]: (r["response"], r["error"]) for r in loop.respond(rows, "prompt", factory, attempts=2, backoff=0.01).collect()}
+    assert all(got[i] == (f"re: p{i}", None) for i in range(8) if i != 3)
+    assert got[3][0] is None
+    assert got[3][1].startswith("no no")
+    assert len(got[3][1]) == 503
+
+
+def test_a_run_without_any_result_ends(spark, tmp_path):
+    from tessera.sources import records, sinks
+
+    path = str(tmp_path / "none.json")
+    assert sinks.finalise(spark, path) == "state"
+    assert records.json_log(spark, path).count() == 0
+    assert not sinks.finished(spark, path, str(tmp_path / "missing"))
+
+
+def test_places_with_one_hot_length_and_nulls(spark):
+    from tessera.operators import sample
+
+    rows = [(i, 5) for i in range(200)] + [(300, 1), (301, None), (302, 9), (None, 5)]
+    got = sample.places(spark.createDataFrame(rows, "id long, n long").repartition(3), "n", "id").collect()
+    low = lambda v: (v is not None, v)
+    want = sorted(rows, key=lambda r: (low(r[1]), low(r[0])))
+    assert [(r["id"], r["n"]) for r in sorted(got, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got) == list(range(len(rows)))
+
+
+def test_histories_without_entries(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+
+    kind = "array<struct<iteration:int,feedback:string,summary:string,artifacts:array<struct<skill_type:string,target_objective:string>>>>"
+    empty = F.array().cast(kind)
+    blank = F.from_json(F.lit('[{"feedback": "", "summary": null}]'), kind)
+    got = spark.range(1).select(text.feedback_history(empty), text.feedback_history(blank), text.scaffolding_history(empty), text.scaffolding_history(blank), text.latest_summary(blank)).first()
+    assert tuple(got) == ("(No feedback history)", "(No feedback history)", "(No scaffolding history)", "\n[Iteration ?]", None)
