@@ -278,37 +278,65 @@ class Codec(_Memory):
         yield stream.close()
 
 
+def _utf8_states() -> list[list[int]]:
+    """Next state by state and byte; -1 where the byte can't follow.
+
+    State 0 is between characters, 1 to 3 lack so many bytes of any kind, 4 to 7
+    are after a first byte that narrows the second (E0, ED, F0, F4).
+    """
+    #: Of each state after 0, the bytes that may follow and the state then.
+    follow = {1: (0x80, 0xBF, 0), 2: (0x80, 0xBF, 1), 3: (0x80, 0xBF, 2), 4: (0xA0, 0xBF, 1), 5: (0x80, 0x9F, 1), 6: (0x90, 0xBF, 2), 7: (0x80, 0x8F, 2)}
+    first = [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)]
+    table = [[-1] * 256 for _ in range(8)]
+    for state, ranges in [(0, first), *((k, [v]) for k, v in follow.items())]:
+        for low, high, then in ranges:
+            table[state][low : high + 1] = [then] * (high - low + 1)
+    return table
+
+
+_UTF8 = _utf8_states()
+
+
 class Utf8Stream:
-    """Incremental UTF-8: the state is how many bytes the open character lacks.
+    """Incremental UTF-8 as a state machine of eight states.
 
-    Bytes that can't be UTF-8 become U+FFFD, as for one whole decode.
+    Between calls it holds a state and the bytes of the open character, three at
+    most. Whole characters inside a part are decoded at once; the machine runs
+    over an open character's bytes only, at either end of a part. Bytes that
+    can't be UTF-8 become U+FFFD, as for one whole decode.
     """
 
     def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def _lacking(data: bytes) -> int:
-        """Length of an unfinished character at the end of ``data``."""
-        need, back = 0, 1
-        while back <= min(3, len(data)):
-            byte = data[-back]
-            if byte >= 0xC0:
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                return back if back < need else 0
-            if byte < 0x80:
-                return 0
-            back += 1
-        return 0
+        self.state, self.held = 0, b""
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data) - self._lacking(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out, at = "", 0
+        while self.state and at < len(data):
+            then = _UTF8[self.state][data[at]]
+            if then < 0:  # the open character ends here; this byte starts anew
+                out, self.held, self.state = out + "\ufffd", b"", 0
+                break
+            self.held, self.state, at = self.held + data[at : at + 1], then, at + 1
+            if not then:
+                out, self.held = out + self.held.decode(), b""
+        if self.state:
+            return out
+        cut = len(data)
+        for k in range(len(data) - 1, max(at, len(data) - 3) - 1, -1):
+            if data[k] >= 0xC0:  # the last first byte near the end
+                state = 0
+                for byte in data[k:]:
+                    state = _UTF8[state][byte]
+                    if state <= 0:
+                        break
+                if state > 0:
+                    cut, self.state, self.held = k, state, data[k:]
+                break
+        return out + data[at:cut].decode("utf-8", "replace")
 
     def close(self) -> str:
-        out, self.held = self.held.decode("utf-8", "replace"), b""
+        out = "\ufffd" if self.state else ""
+        self.state, self.held = 0, b""
         return out
 
 

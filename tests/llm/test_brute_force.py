@@ -414,6 +414,17 @@ def test_long_word_needs_no_long_lookahead():
     assert read < 300
 
 
+def test_streaming_decode_of_any_bytes():
+    rnd = random.Random(5)
+    pool = ["é".encode(), "한".encode(), "😀".encode(), b"a", b"\xc3", b"\xe2\x82", b"\xf0\x9f\x98", b"\x80", b"\xff", b"\xe0\x80", b"\xed\xa0\x80", b"\xf4\x90", b"\xc0\xaf"]
+    for _ in range(3000):
+        data = b"".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8)))
+        cuts = sorted(rnd.randint(0, len(data)) for _ in range(rnd.randint(0, 6)))
+        stream = bpe_fst.Utf8Stream()
+        parts = [stream.feed(data[i:j]) for i, j in zip([0, *cuts], [*cuts, len(data)])]
+        assert "".join(parts) + stream.close() == data.decode("utf-8", "replace")
+
+
 # ------------------------------------------------------------------------- 8
 
 
@@ -510,6 +521,27 @@ def test_language(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"}
 
 
+def test_language_of_foreign_texts_is_rejected(spark):
+    """Texts of languages that were not learned score lower than those of learned ones, and mostly go."""
+    rnd = random.Random(1)
+    common = {
+        "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three",
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer millionen was sagte gibt alle seit muss wurden beim doch jetzt waren drei jahre neue neuen damit bereits da ihr seinen müssen ab ihrer ohne sondern selbst ersten nun etwa heute weil ihm menschen",
+    }
+    foreign = ["Ελληνικά είναι η γλώσσα που μιλούν οι άνθρωποι στην Ελλάδα και στην Κύπρο", "Это предложение написано на русском языке для проверки отказа", "這是一個用中文寫的句子用來測試拒絕", "यह वाक्य हिंदी में लिखा गया है ताकि अस्वीकृति की जाँच हो", "이 문장은 한국어로 쓰였으며 거부를 시험합니다"]
+    text = lambda k: " ".join(rnd.choice(common[k].split()) for _ in range(40))
+    df = spark.createDataFrame([(i, text(k), k) for i, k in enumerate(["en", "de"] * 150)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    new = [text(k) for k in ["en", "de"] * 100]
+    known = langid.score_texts(model, new)
+    strange = langid.score_texts(model, foreign)
+    assert sum(s >= model.threshold for _, s in known) >= 0.97 * len(known)
+    assert max(s for _, s in strange) < float(np.quantile([s for _, s in known], 0.1))
+    # Calibrated: of texts scored near p, about p are right.
+    right = [lang == want for (lang, _), want in zip(known, ["en", "de"] * 100)]
+    assert abs(np.mean(right) - np.mean([s for _, s in known])) < 0.05
+
+
 def test_language_does_not_depend_on_the_batch(spark):
     model = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(1 << 15, 2)).astype(np.float32), np.zeros(2, np.float32))
     texts = ["alpha beta", "gamma", "delta epsilon zeta"]
