@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(links: DataFrame) -> tuple[int, int]:
@@ -24,7 +24,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
     """``node, component`` for every linked node; the component is its least node."""
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     links = materialize(links, "links")
-    state = _state(links)
+    held, state = links, _state(links)
     for _ in range(max_rounds):
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -33,7 +33,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         near = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(near, "a")
         links = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        links = materialize(links, "links")
+        links, read = materialize(links, "links"), held
+        discard(read)
+        held = links
         before, state = state, _state(links)
         if before == state:
             break

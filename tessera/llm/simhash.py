@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = found.groupBy("fp").agg(F.min("__id").alias("least"))
     classes = connected(_links(fps, radius, bucket))
     named = fps.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written first: else the count of a large class and its join share a stage, and one of its tasks.
+    names = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
     by_fp = materialize(named.join(names, "label").select("fp", "component_id"), "simhash-classes")
     return found.join(by_fp, "fp").select(
         F.col("__id").alias(id_col),
