@@ -14,7 +14,7 @@ transitions are made on first use and kept in a bounded table that is emptied
 when full, as is the memory of whole words; neither affects results.
 
 Decoding is a stream too: :class:`Utf8Stream` holds the bytes of an unfinished
-character between calls, tracked by a four-state machine.
+character between calls, tracked by a state machine.
 
 Defined cases: a null text counts as empty and gives no ids; repeated rows get
 equal rows; an empty table gives an empty table; other columns are not read.
@@ -26,7 +26,6 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import struct
 from bisect import insort
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pattern for which parts between blanks stand alone.
 BLANK_JOINING = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_TABLE_LIMIT = 200_000
+_TABLE_LIMIT = 300_000
 _WORD_LIMIT = 120_000
 
 
@@ -52,6 +51,7 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], table_limit: int = _TABLE_LIMIT):
         self.ranks = ranks
+        self.token_of = {rank: token for token, rank in ranks.items()}
         self.limit = table_limit
         #: Proper prefixes of tokens: what may still grow.
         self.growing = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -65,7 +65,14 @@ class Transducer:
         #: of those (first that emitted token), and the open prefixes.
         self.states: list[tuple[bytes, list[bytes], list[int]]] = [(b"", [b""], [0])]
         self.numbers: dict[tuple[bytes | None, bytes], int] = {(b"", b""): 0}
-        self.moves: dict[int, tuple[int, tuple[bytes, ...]]] = {}
+        #: By 256 times the state plus the byte: 256 times the next state, and the ids emitted.
+        self.moves: dict[int, tuple[int, bytes]] = {}
+        #: By 256 times the state: the ids of what is pending when the word ends.
+        self.ends: dict[int, bytes] = {}
+
+    def _pack(self, pending: bytes, cuts: list[int]) -> bytes:
+        ranks = self.ranks
+        return b"".join([ranks[pending[a:b]].to_bytes(4, "little") for a, b in zip(cuts, cuts[1:])])
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank, lowest first and leftmost of equals, down to ``until`` parts: the definition."""
@@ -121,9 +128,9 @@ class Transducer:
             else:
                 bound, right = 2 * ranks[right] + 1, self._halves(right)[0]
 
-    def _compile(self, state: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        pending, lasts, opened = self.states[state]
-        pending += bytes((byte,))
+    def _compile(self, key: int) -> tuple[int, bytes]:
+        pending, lasts, opened = self.states[key >> 8]
+        pending += bytes((key & 255,))
         for i in opened:  # only what could grow can have become a token
             token = pending[i:]
             if token in self.ranks and self._sound(token) and (not lasts[i] or self._fit(lasts[i], token)):
@@ -143,15 +150,15 @@ class Transducer:
             elif up not in live:
                 insort(live, up)
         at = live[0]
-        cuts = self._chain(lasts, at)
-        emitted = tuple(pending[a:b] for a, b in zip(cuts, cuts[1:]))
+        emitted = self._pack(pending, self._chain(lasts, at)) if at else b""
         # The token ahead matters only while a token may still start right after it.
-        key = (lasts[at] if opened[0] == at else None, pending[at:])
-        number = self.numbers.get(key)
+        name = (lasts[at] if opened[0] == at else None, pending[at:])
+        number = self.numbers.get(name)
         if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append((key[1], lasts[at:], [i - at for i in opened]))
-        return number, emitted
+            number = self.numbers[name] = len(self.states)
+            self.states.append((name[1], lasts[at:], [i - at for i in opened]))
+        move = self.moves[key] = number << 8, emitted
+        return move
 
     @staticmethod
     def _chain(lasts: list[bytes], end: int) -> list[int]:
@@ -162,24 +169,38 @@ class Transducer:
             out.append(end)
         return out[::-1]
 
-    def _finish(self, state: int) -> tuple[bytes, ...]:
-        pending, lasts, _ = self.states[state]
-        cuts = self._chain(lasts, len(pending))
-        return tuple(pending[a:b] for a, b in zip(cuts, cuts[1:]))
+    def _finish(self, state: int) -> bytes:
+        pending, lasts, _ = self.states[state >> 8]
+        packed = self.ends[state] = self._pack(pending, self._chain(lasts, len(pending)))
+        return packed
 
     def tokens(self, data: Iterable[int]) -> Iterator[bytes]:
         """Tokens of one word, each as soon as no continuation can change it."""
         if len(self.states) > self.limit:
             self._reset()
-        state = 0
+        state, moves = 0, self.moves
+        for byte in data:
+            key = state + byte
+            state, emitted = moves.get(key) or self._compile(key)
+            yield from self._named(emitted)
+        yield from self._named(self.ends.get(state) or self._finish(state))
+
+    def _named(self, packed: bytes) -> list[bytes]:
+        return [self.token_of[rank] for rank in np.frombuffer(packed, "<u4").tolist()]
+
+    def ids(self, data: bytes) -> bytes:
+        """Packed ids of one word: those of ``tokens``, in one loop."""
+        if len(self.states) > self.limit:
+            self._reset()
+        state, out, known = 0, b"", self.moves.get
         for byte in data:
-            key = state << 8 | byte
-            move = self.moves.get(key)
+            move = known(state + byte)
             if move is None:
-                move = self.moves[key] = self._compile(state, byte)
+                move = self._compile(state + byte)
             state, emitted = move
-            yield from emitted
-        yield from self._finish(state)
+            if emitted:
+                out += emitted
+        return out + (self.ends.get(state) or self._finish(state))
 
 
 #: Marks that the public pattern matches apart from the letters before them.
@@ -239,7 +260,7 @@ class Codec(_Memory):
         super().__init__(word_limit)
         self.machine = Transducer(ranks)
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = self.machine.token_of
         self.split = regex.compile(pattern)
         self.parts = _Parts(self, 2 * word_limit)
         #: The public pattern lets one blank join the word after it and nothing else.
@@ -248,8 +269,7 @@ class Codec(_Memory):
     def make(self, word: str) -> bytes:
         data = word.encode("utf-8", "replace")
         whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else [self.ranks[t] for t in self.machine.tokens(data)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.machine.ids(data) if whole is None else whole.to_bytes(4, "little")
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
