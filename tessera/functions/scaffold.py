@@ -50,6 +50,11 @@ def _artifact(section: Column, label: Column) -> Column:
     )
 
 
+def skills(c: Column) -> Column:
+    """HOT or LOT of each guidance section, without parsing what it says."""
+    return F.transform(F.regexp_extract_all(c, F.lit(SECTION_LABEL), F.lit(1)), lambda label: F.when(label == "High Order Skill", "HOT").otherwise("LOT"))
+
+
 def artifacts(c: Column) -> Column:
     """Guidance sections of a teacher's text as an array of structs, in order."""
     sections = F.split(c, "(?U)" + SECTION)

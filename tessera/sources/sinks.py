@@ -58,6 +58,20 @@ def export_array(rows: DataFrame, path: str, order: str | None = None) -> None:
         out.close()
 
 
+def write_samples(rows: DataFrame, base: str, domain: str, dataset: str, order: str | None = None) -> str:
+    """A drawn sample in its place below ``base``; returns the file's path."""
+    path = f"{base}/{domain}/train/data/{dataset}_samples.json"
+    export_array(rows, path, order)
+    return path
+
+
+def write_enriched(records: DataFrame, folder: str, dataset: str, order: str | None = None, suffix: str = "_train_enhanced.json") -> str:
+    """Enriched records under the name their reader looks for; returns the file's path."""
+    path = f"{folder}/{registry.enhanced_name(dataset, suffix)}"
+    export_array(records, path, order)
+    return path
+
+
 def _stream_log(rows: DataFrame, path: str, summary: dict) -> None:
     """A finished log over what was there; rows pass through the driver one partition at a time."""
     spark = rows.sparkSession

@@ -276,3 +276,61 @@ def test_histories_without_entries(spark):
     blank = F.from_json(F.lit('[{"feedback": "", "summary": null}]'), kind)
     got = spark.range(1).select(text.feedback_history(empty), text.feedback_history(blank), text.scaffolding_history(empty), text.scaffolding_history(blank), text.latest_summary(blank)).first()
     assert tuple(got) == ("(No feedback history)", "(No feedback history)", "(No scaffolding history)", "\n[Iteration ?]", None)
+
+
+def _questions(spark):
+    rows = [("1", "I", "q1", "The answer is \\boxed{1}"), ("2", None, "q2", "The answer is \\boxed{2}"), ("3", "", None, None)]
+    return spark.createDataFrame(rows, "id string, instruction string, input string, output string")
+
+
+def _saver(spark, tmp_path):
+    def save(rows, i):
+        rows.write.parquet(f"{tmp_path}/{i}")
+        return spark.read.schema(rows.schema).parquet(f"{tmp_path}/{i}")
+
+    return save
+
+
+def test_coaching_without_objectives_goes_by_the_grade(spark, tmp_path):
+    from tessera.operators import coach
+
+    student = lambda: lambda asked, _: asked.map(lambda p: "better" if "well" in p else "\\boxed{1}")
+    teacher = lambda: lambda asked, _: asked.map(lambda p: "well" if p.startswith("Problem:\nq1") else "s")
+    got = {r["id"]: r for r in coach.coach(_questions(spark), student, teacher, "numeric", _saver(spark, tmp_path), max_iterations=2).collect()}
+    assert [got[k]["sft_case"][:6] for k in "123"] == ["case_a", "case_c", "case_c"]
+    assert (got["1"]["initial_response"], got["1"]["sft_response"], got["1"]["iterations_needed"]) == ("\\boxed{1}", "better", 1)
+    assert (got["2"]["initial_response"], got["2"]["sft_response"], got["2"]["iterations_needed"], got["2"]["last_correct_iteration"]) == ("s", "s", 2, None)
+
+
+def test_unreadable_judgement_skips_its_question_alone(spark, tmp_path):
+    from tessera.operators import coach
+
+    met = '{"performance_evaluation": [{"objective_content": "o", "is_satisfied": true}]}'
+    student = lambda: lambda asked, _: asked.map(lambda p: "a")
+    teacher = lambda: lambda asked, _: asked.map(lambda p: "no JSON" if "q2" in p else met if "Objectives:" in p else "")
+    got = {r["id"]: r for r in coach.coach(_questions(spark), student, teacher, "text", _saver(spark, tmp_path), objectives=[{"target": "t"}]).collect()}
+    assert got["2"]["sft_case"] == "skipped" and "read" in got["2"]["skip_reason"] and got["2"]["sft_response"] is None
+    assert {k: (got[k]["sft_case"][:6], got[k]["sft_response"]) for k in "13"} == {k: ("case_a", "a") for k in "13"}
+
+
+def test_coaching_of_no_questions(spark, tmp_path):
+    from tessera.operators import coach
+
+    ask = lambda: lambda asked, _: asked
+    assert coach.coach(_questions(spark).limit(0), ask, ask, "mcq", _saver(spark, tmp_path)).collect() == []
+
+
+def test_rows_with_errors_or_without_prompts_are_not_asked(spark):
+    from tessera.operators import loop
+
+    rows = spark.createDataFrame([(1, "p", None), (2, None, None), (3, "p", "before")], "id int, prompt string, error string")
+    got = {r["id"]: (r["response"], r["error"]) for r in loop.respond(rows, "prompt", lambda: lambda s: s + "!").collect()}
+    assert got == {1: ("p!", None), 2: (None, None), 3: (None, "before")}
+
+
+def test_templates_keep_braces_and_empty_nulls(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions import prompts
+
+    row = spark.range(1).select(prompts.fill("{{x}} {a}|{b}", a=F.lit(None).cast("string"), b="{y}").alias("t")).first()
+    assert row["t"] == "{x} |{y}"
