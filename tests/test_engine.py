@@ -334,3 +334,11 @@ def test_templates_keep_braces_and_empty_nulls(spark):
 
     row = spark.range(1).select(prompts.fill("{{x}} {a}|{b}", a=F.lit(None).cast("string"), b="{y}").alias("t")).first()
     assert row["t"] == "{x} |{y}"
+
+
+def test_a_model_is_made_once_in_a_process():
+    from tessera.operators import loop
+
+    made = []
+    factory = loop.Once("test", lambda: made.append(1) or (lambda s: s))
+    assert factory() is factory() and made == [1]
