@@ -1,25 +1,19 @@
 """Typed answers: extraction from a response, and comparison with the truth.
 
-Every extractor is a Column expression; only the scan for balanced braces is an
-Arrow-batched function, and it is skipped for rows without a box.
+Every extractor is a Column expression; the scan for balanced braces and the
+comparison of expressions are Arrow-batched functions, to which rows without a
+box, or without an expression, go as nulls.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .markup import boxed, fraction, normal_answer, normal_latex, number
+from .symbolic import same_expression
 from .text import first_match, last_line, none_if_empty, strip, text
 
-try:  # optional: without it, symbolic equality is never found
-    import sympy
-    from sympy.parsing import sympy_parser
-except ImportError:
-    sympy = None
-
 # The patterns, in order of precedence.
 MCQ_PATTERNS = (
     r"[Aa]nswer[:\s]+([A-Da-d])",
@@ -137,26 +131,12 @@ def extract_by(answer_type: Column, c: Column) -> Column:
     return out.otherwise(extract_text(c))
 
 
-def _symbolic(one: str, two: str) -> bool:
-    try:
-        rules = (*sympy_parser.standard_transformations, sympy_parser.implicit_multiplication_application)
-        return sympy.simplify(sympy_parser.parse_expr(f"({one})-({two})".replace("^", "**"), transformations=rules)) == 0
-    except Exception:  # noqa: BLE001  whatever can't be parsed is not equal
-        return False
-
-
-@F.pandas_udf(T.BooleanType())
-def _symbolically(one: pd.Series, two: pd.Series) -> pd.Series:
-    return pd.Series([isinstance(a, str) and isinstance(b, str) and _symbolic(a, b) for a, b in zip(one, two)])
-
-
 def same_answer(predicted: Column, truth: Column) -> Column:
-    """Equal normal forms, out of boxes; symbolically equal where sympy is there."""
+    """Equal normal forms, out of boxes, or the same expression."""
     one = normal_answer(F.coalesce(none_if_empty(boxed(truth)), truth))
     two = normal_answer(F.coalesce(none_if_empty(boxed(predicted)), predicted))
     equal = one == two
-    if sympy is not None:
-        equal = equal | _symbolically(F.when(~equal, one), F.when(~equal, two))
+    equal = equal | same_expression(F.when(~equal, one), F.when(~equal, two))
     return F.when(text(truth) == "", False).otherwise(F.coalesce(equal, F.lit(False)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from ..functions.jsonfix import extract_object
 from ..functions.text import none_if_empty, strip, text
 from ..plans import registry
 from ..sources import sinks
-from . import resume
+from . import resume, stats
 from .loop import Model, all_satisfied, respond
 
 EVALUATION = T.StructType(
@@ -30,6 +30,7 @@ EVALUATION = T.StructType(
     ]
 )
 _SUMMARIES = "array<struct<iteration:int,summary:string>>"
+_HISTORY = f"array<{registry.HISTORY.simpleString()}>"
 # Fixed value: the feedback where a teacher gives none.
 NO_FEEDBACK = "Review your previous response and try to address the unsatisfied objectives."
 
@@ -81,6 +82,7 @@ def coach(
         F.lit(0).cast("bigint").alias("lot"),
         none("int").alias("last_correct_iteration"),
         none("string").alias("last_correct_response"),
+        F.array().cast(_HISTORY).alias("history"),
     )
     state = left.columns
     ended: list[DataFrame] = []
@@ -102,6 +104,7 @@ def coach(
         kinds = scaffold.skills(text(F.col("__guidance")))
         count = lambda kind: F.size(F.filter(kinds, lambda k: k == kind))  # noqa: B023, E731
         right = F.col("correct") & F.col("error").isNull()
+        turn = lambda role, *said: F.array(F.struct(F.lit(i), F.lit(role), *said).cast(registry.HISTORY.simpleString()))  # noqa: B023, E731
         new = F.when(summary.isNotNull(), F.array(F.struct(F.lit(i).alias("iteration"), summary.alias("summary")))).otherwise(F.array().cast(_SUMMARIES))
         got = got.select(
             *("id", "instruction", "input", "output"),
@@ -111,7 +114,8 @@ def coach(
             (F.col("lot") + count("LOT")).alias("lot"),
             F.when(right, F.lit(i)).otherwise(F.col("last_correct_iteration")).alias("last_correct_iteration"),
             F.when(right, response).otherwise(F.col("last_correct_response")).alias("last_correct_response"),
-            *("response", "predicted", "judgement", "satisfied", "error"),
+            F.concat("history", turn("student", response, none("string")), turn("teacher", F.col("__guidance"), F.col("judgement"))).alias("history"),
+            *("response", "predicted", "correct", "judgement", "satisfied", "error"),
             F.lit(i).alias("iterations"),
         )
         got = save(got, i)
@@ -125,6 +129,20 @@ def coach(
     return save(_closed(reduce(DataFrame.unionByName, ended), call, prompted, student, teacher, said, goal, analysis), max_iterations + 1)
 
 
+def _guidance(history: Column) -> Column:
+    """The guidance of each round that had any, parsed, with the round's summary."""
+    given = F.filter(history, lambda h: (h["role"] == "teacher") & (text(h["response"]) != ""))
+    parts = lambda c: F.transform(scaffold.artifacts(c), lambda a: F.struct(*[a[n].alias(n) for n in registry.ARTIFACT.names]))
+    return F.transform(given, lambda h: F.struct(h["iteration"].alias("iteration"), parts(h["response"]).alias("artifacts"), none_if_empty(scaffold.summary(h["response"])).alias("summary")))
+
+
+def _used(history: Column) -> Column:
+    """What later attempts say they took from guidance, by round."""
+    later = F.filter(history, lambda h: (h["role"] == "student") & (h["iteration"] > 1))
+    told = F.transform(later, lambda h: F.struct(h["iteration"].alias("iteration"), scaffold.references(h["response"]).alias("references")))
+    return F.filter(told, lambda r: F.size(r["references"]) > 0)
+
+
 def _closed(rows: DataFrame, call, prompted, student, teacher, said: dict[str, str], goal: str, analysis: str) -> DataFrame:  # noqa: ANN001
     """Results of ended questions: praise or a solution from the teacher, then a refined response after praise."""
     problem, response, met = F.col("input"), F.col("response"), F.col("satisfied")
@@ -137,10 +155,14 @@ def _closed(rows: DataFrame, call, prompted, student, teacher, said: dict[str, s
     case = F.when(~fine, registry.SKIPPED).when(met & (F.col("iterations") == 1), registry.CASE_A).when(met, registry.CASE_B).otherwise(registry.CASE_C)
     some = lambda c: F.when(fine & (F.col(c) > 0), F.col(c))
     failed = fine & ~met
+    held = lambda c: F.when(F.size(c) > 0, c)
     return got.select(
-        *("id", "instruction", "input", "output"),
+        "id",
+        F.col("id").cast("string").alias("question_id"),
+        *("instruction", "input", "output"),
         F.when(fine, F.when(met, response).otherwise(F.col("__closing"))).alias("initial_response"),
         F.when(fine, F.col("predicted")).alias("predicted_answer"),
+        F.when(fine, F.col("correct")).alias("is_correct"),
         (fine & met).alias("scaffolding_correct"),
         case.alias("sft_case"),
         F.when(failed, F.col("__closing")).when(fine, F.coalesce("__refined", response)).alias("sft_response"),
@@ -150,27 +172,44 @@ def _closed(rows: DataFrame, call, prompted, student, teacher, said: dict[str, s
         F.when(failed, F.col("last_correct_iteration")).alias("last_correct_iteration"),
         F.when(failed, F.col("last_correct_response")).alias("last_correct_response"),
         F.col("error").alias("skip_reason"),
+        held(_guidance(F.col("history"))).alias("scaffolding_artifacts"),
+        held(_used(F.col("history"))).alias("artifact_references"),
+        held(F.col("history")).alias("conversation_history"),
     )
 
 
-def resumed(spark: SparkSession, questions: DataFrame, path: str, run: Callable[[DataFrame], DataFrame]) -> str:
-    """Runs what a log has not reached, appends it, and ends the run; with nothing left it only ends it.
+def as_run(results: DataFrame) -> DataFrame:
+    """Results with every column of a durable run, in its order; what is not there is null."""
+    return results.select(*[(F.col(f.name) if f.name in results.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in registry.RUN.fields])
+
+
+def resumed(spark: SparkSession, questions: DataFrame, path: str, run: Callable[[DataFrame, Callable[[DataFrame, int], DataFrame]], DataFrame], training: str | None = None, goal: str = "", analysis: str = "") -> str:
+    """Runs what the durable log at ``path`` has not reached, commits it, and writes the training entries.
+
+    ``run`` gets the questions that are left and a ``save`` that commits each
+    round under the name of these very questions: a run that stops, for whatever
+    reason, is found by the next one, which asks no model again for a round that
+    was committed. Answers become visible with their epoch's manifest and not
+    before. An older log beside ``path`` is taken in as the first epoch.
 
     Returns ``ended`` where no question was asked, else ``ran``.
     """
+    from ..sources import epochs
     from ..sources.records import any_log
-
-    lines = path.removesuffix(".json") + ".jsonl"
-    begun = sinks.exists(spark, lines) or sinks.exists(spark, path)
-    left = resume.remaining(questions, any_log(spark, path)) if begun else questions
-    if begun and left.isEmpty():
-        sinks.finalise(spark, path)
-        return "ended"
-    if begun and not sinks.exists(spark, lines):  # a finished log that questions were added to
-        sinks.append_lines(any_log(spark, path), lines)
-    sinks.append_lines(run(left), lines)
-    sinks.finalise(spark, path)
-    return "ran"
+    from . import sft
+
+    if not epochs.committed(spark, path) and (sinks.exists(spark, path + ".jsonl") or sinks.exists(spark, path + ".json")):
+        epochs.commit(as_run(any_log(spark, path + ".json")), path, 0, stats.live_counts())
+    left = resume.remaining(questions, epochs.read(spark, path, registry.RUN))
+    size, mark = left.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(F.col("id").cast("string")).cast("decimal(38,0)")), F.lit(0))).first()
+    if size:
+        k = 1 + max((m["epoch"] for m in epochs.committed(spark, path)), default=-1)
+        rounds = f"{path}/_rounds/{k}-{size}-{mark}"
+        epochs.commit(as_run(run(left, lambda rows, i: epochs.once(rows, rounds, i))), path, k, stats.live_counts())
+        epochs.remove(spark, rounds)
+    if training:
+        sinks.replace_lines(sft.entries(epochs.read(spark, path, registry.RUN), goal, analysis), training)
+    return "ran" if size else "ended"
 
 
 def designed(samples: DataFrame, model: Model, domain: str, dataset: str, order: str, templates: dict[str, str] | None = None, attempts: int = 3) -> dict:

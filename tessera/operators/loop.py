@@ -27,6 +27,11 @@ def unmet(objectives: Column) -> Column:
     return F.filter(objectives, lambda x: ~F.coalesce(x["is_satisfied"], F.lit(True)))
 
 
+def satisfaction(verdict: Column) -> tuple[Column, Column]:
+    """The same two of a group of rows, as aggregates: all met, and how many are said to be unmet."""
+    return F.coalesce(F.bool_and(F.coalesce(verdict, F.lit(False))), F.lit(False)).alias("all_satisfied"), F.count_if(~verdict).alias("n_unmet")
+
+
 def valid_objectives(objectives: Column) -> Column:
     """Whether each has a target and an objective; so of none."""
     return F.coalesce(F.forall(objectives, lambda x: x["target"].isNotNull() & x["performance_objective"].isNotNull()), F.lit(True))

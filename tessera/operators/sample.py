@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import none_if_empty
+from ..session import work_path
 
 POOL = 60
 
@@ -44,42 +45,53 @@ def thirds(rows: DataFrame, length: Column, by: list[str] | None = None, id_col:
     )
 
 
-def global_thirds(rows: DataFrame, length: Column, id_col: str = "id") -> DataFrame:
-    """The same over any number of rows: ranks come from a count per length.
+def global_thirds(rows: DataFrame, length: Column, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The same over any number of rows, of groups of any size: from :func:`places`."""
+    placed = places(rows.withColumn("__len", length), "__len", id_col, by, "__of")
+    cut = F.floor(F.col("__of") / 3)
+    third = F.when(F.col("place") < cut, 0).when(F.col("place") < 2 * cut, 1).otherwise(2)
+    return placed.withColumn("third", third.cast("int")).select(*rows.columns, "third")
 
-    Lengths are few beside rows; rows of the two lengths at which a third ends
-    are told apart by a rank within that length alone.
+
+def places(rows: DataFrame, length_col: str, id_col: str, by: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
+    """``place``: the position (from 0) by length, then id, in its group, of any number of rows.
+
+    The rows are sorted in ranges over group, length and id, and written to the
+    shared folder; counts per group and range give each range its offset, so
+    neither a group nor a length that a third of all rows share is in one task.
+    Ids may be numbers or texts; nulls come first. ``total`` names a column for the
+    group's size.
     """
-    sized = rows.withColumn("__len", length)
-    counts = sized.groupBy("__len").agg(F.count("*").alias("__n"))
-    ahead = Window.orderBy("__len").rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy(F.lit(0))
-    starts = counts.select(
-        "__len", "__n", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"), F.floor(F.sum("__n").over(all_rows) / 3).alias("__cut")
-    ).withColumn("__split", (F.col("__start") < F.col("__cut")) & (F.col("__start") + F.col("__n") > F.col("__cut")) | (F.col("__start") < 2 * F.col("__cut")) & (F.col("__start") + F.col("__n") > 2 * F.col("__cut")))
-    joined = sized.join(starts, "__len")
-    whole = joined.where("not __split").withColumn("__place", F.col("__start"))
-    part = joined.where("__split").withColumn("__place", F.col("__start") + F.row_number().over(Window.partitionBy("__len").orderBy(id_col)) - 1)
-    third = F.when(F.col("__place") < F.col("__cut"), 0).when(F.col("__place") < 2 * F.col("__cut"), 1).otherwise(2)
-    return whole.union(part).withColumn("third", third.cast("int")).select(*rows.columns, "third")
-
-
-def places(rows: DataFrame, length_col: str, id_col: str, buckets: int = 64) -> DataFrame:
-    """``place``: the position (from 0) by length, then id, of any number of rows.
-
-    Each length is cut at quantiles of its ids into up to ``buckets`` ranges, so
-    a length that very many rows share is ranked in parts; offsets come from
-    counts per length and range, which are few beside rows.
+    spark = rows.sparkSession
+    order = [*by, length_col, id_col]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    path = work_path(spark, "places")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    keys = [f"__by{i}" for i in range(len(by))]
+    parts = placed.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("__part").alias("__range")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.sum("__n").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*keys, "__range", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__base"), F.sum("__n").over(group).alias("__total"))
+    same = F.col("__part") == F.col("__range")
+    for c, k in zip(by, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    more = [F.col("__total").alias(total)] if total else []
+    return placed.join(parts, same).select(*rows.columns, (F.col("__at") + F.col("__base")).alias("place"), *more)
+
+
+def bottom(rows: DataFrame, keys: list[str], order: list[Column], k: int, parts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group, and ``__rank`` (from 1).
+
+    First of each of ``parts`` parts of a group, then of what those keep, so a
+    group that holds a third of all rows is never in one task; the parts' first
+    rows are cut before the shuffle where Spark's limit on window groups allows.
     """
-    cuts = rows.groupBy(length_col).agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
-    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(id_col)))
-    # Lengths and ids are equal null-safely: rows without a length come first.
-    cut = rows.alias("r").join(cuts.withColumnRenamed(length_col, "__len"), F.col(length_col).eqNullSafe(F.col("__len"))).withColumn("__b", F.when(F.col(id_col).isNull(), -1).otherwise(bucket)).drop("__cuts", "__len")
-    counts = cut.groupBy(F.col(length_col).alias("__l"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
-    starts = counts.select("__l", "__c", F.coalesce(F.sum("__n").over(Window.orderBy("__l", "__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy(length_col, "__b").orderBy(id_col))
-    met = cut.withColumn("__r", rank).join(starts, F.col(length_col).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c")))
-    return met.select(*rows.columns, (F.col("__start") + F.col("__r") - 1).alias("place"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    cut = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    cut = cut.withColumn("__rank", first(*keys, "__part")).where(F.col("__rank") <= k).drop("__part")
+    return cut.withColumn("__rank", first(*keys)).where(F.col("__rank") <= k)
 
 
 def diverse_sample(rows: DataFrame, k: int, length: Column, id_col: str = "id", seed: int = 42, pool: int = POOL) -> DataFrame:
@@ -96,24 +108,29 @@ def stratified_sample(
 
     Within one: where there are two secondary values or more, one row of each
     first and then any, else length thirds topped up. With fewer than two
-    primary values it is a :func:`diverse_sample`. Candidates per stratum are
-    cut to ``k`` at the rank, so windows are over ranks only.
+    primary values it is a :func:`diverse_sample`. What can be drawn is cut to a
+    few times ``k`` rows a stratum by :func:`bottom` before strata are ranked, so
+    the size of a stratum is nowhere in one task. An id is drawn once.
     """
     rows = rows.withColumn("__p", none_if_empty(primary)).withColumn("__s", none_if_empty(secondary))
-    strata = rows.where("__p is not null").groupBy("__p").agg(F.count("*").alias("__n"), F.count_distinct("__s").alias("__levels"))
-    strata = strata.withColumn("__rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__p")) - 1).withColumn("__m", F.count("*").over(Window.partitionBy(F.lit(0))))
+    strata = rows.where("__p is not null").groupBy("__p").agg(F.count_distinct("__s").alias("__levels"))
+    strata = strata.withColumn("__m", F.count("*").over(Window.partitionBy(F.lit(0)))).withColumn("__quota", quota(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__p")) - 1, k, F.col("__m")))
     if strata.limit(2).count() < 2:
         return diverse_sample(rows.drop("__p", "__s"), k, length, id_col, seed)
-    strata = strata.withColumn("__quota", quota(F.col("__rank"), k, F.col("__m")))
-    held = rows.join(strata, "__p")
-    shuffled = [draw(id_col, seed), F.col(id_col)]
+    held = rows.join(strata, "__p").withColumn("__draw", draw(id_col, seed))
+    shuffled = [F.col("__draw"), F.col(id_col)]
+
     levels = held.where("__levels >= 2")
-    lead = F.row_number().over(Window.partitionBy("__p", "__s").orderBy(*shuffled))
-    levels = levels.withColumn("__first", F.when(F.col("__s").isNotNull() & (lead == 1), 0).otherwise(1))
-    lengths = thirds(held.where("__levels < 2"), length, ["__p"], id_col)
-    inside = F.row_number().over(Window.partitionBy("__p", "third").orderBy(*shuffled))
-    lengths = lengths.withColumn("__first", F.when(inside <= quota(F.col("third"), F.col("__quota"), 3), 0).otherwise(1)).drop("third")
-    both = levels.unionByName(lengths)
+    lead = bottom(levels.where("__s is not null"), ["__p", "__s"], shuffled, 1).drop("__rank")
+    first = bottom(lead, ["__p"], shuffled, k).drop("__rank")
+    even = global_thirds(held.where("__levels < 2"), length, id_col, ("__p",))
+    share = bottom(even, ["__p", "third"], shuffled, k).where(F.col("__rank") <= quota(F.col("third"), F.col("__quota"), 3))
+    chosen = first.unionByName(share.drop("__rank", "third")).withColumn("__first", F.lit(0))
+    # Twice k of a stratum hold k that were not chosen, if there are so many.
+    rest = bottom(held, ["__p"], shuffled, 2 * k).drop("__rank")
+    taken = chosen.select(F.col("__p").alias("__tp"), F.col(id_col).alias("__id"))
+    rest = rest.join(taken, (F.col("__p") == F.col("__tp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    both = chosen.unionByName(rest.withColumn("__first", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("__p").orderBy("__first", *shuffled))
     return both.withColumn("__place", place).where("__place <= __quota").select(*[c for c in rows.columns if c not in ("__p", "__s")])
 

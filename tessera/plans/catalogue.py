@@ -517,21 +517,26 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------- objectives, exports
 
 
-def _objectives(spark: SparkSession, d: str) -> DataFrame:
-    met = F.when(F.col("l_linestatus") == "O", True).when(F.col("l_returnflag") == "N", None).otherwise(False)
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("objective_content"), met.alias("is_satisfied"))).alias("objectives"))
+def _verdict() -> Column:
+    return F.when(F.col("l_linestatus") == "O", True).when(F.col("l_returnflag") == "N", None).otherwise(False)
 
 
-@query("""SELECT l_orderkey, bool_and(l_linestatus = 'O') AS all_satisfied, CAST(count(*) FILTER (WHERE l_linestatus <> 'O' AND l_returnflag <> 'N') AS INT) AS n_unmet FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, bool_and(l_linestatus = 'O') AS all_satisfied, CAST(count(*) FILTER (WHERE l_linestatus <> 'O' AND l_returnflag <> 'N') AS BIGINT) AS n_unmet FROM lineitem GROUP BY l_orderkey""")
 def po_all_satisfied(spark: SparkSession, d: str) -> DataFrame:
-    o = _objectives(spark, d)
-    return o.select("l_orderkey", loop.all_satisfied(F.col("objectives")).alias("all_satisfied"), F.size(loop.unmet(F.col("objectives"))).alias("n_unmet"))
+    """Verdicts that are rows need no array: one aggregate with partial sums."""
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(*loop.satisfaction(_verdict()))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus <> 'O' AND l_returnflag <> 'N'")
 def failed_pos(spark: SparkSession, d: str) -> DataFrame:
-    o = _objectives(spark, d)
-    return o.select("l_orderkey", F.explode(loop.unmet(F.col("objectives"))).alias("x")).select("l_orderkey", F.col("x.objective_content").alias("l_linenumber"))
+    return _t(spark, d, "lineitem").where(~F.coalesce(_verdict(), F.lit(True))).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, bool_and(l_linestatus = 'O') AS all_satisfied, CAST(count(*) FILTER (WHERE l_linestatus <> 'O' AND l_returnflag <> 'N') AS INT) AS n_unmet FROM lineitem GROUP BY l_orderkey""")
+def nested_objectives(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the arrays that a teacher's evaluation holds."""
+    o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("objective_content"), _verdict().alias("is_satisfied"))).alias("objectives"))
+    return o.select("l_orderkey", loop.all_satisfied(F.col("objectives")).alias("all_satisfied"), F.size(loop.unmet(F.col("objectives"))).alias("n_unmet"))
 
 
 @query(f"""WITH {ITER}, {CLASSIFIED}, r AS (SELECT conv_id, max_by(response, iteration) AS response FROM iter GROUP BY conv_id)
@@ -615,7 +620,7 @@ def _stub_student():  # noqa: ANN202
     def answer(prompts):  # noqa: ANN001, ANN202
         tries = prompts.str.count(r"\[Attempt") + 1
         n = prompts.str.extract(r"^(\d+)")[0]
-        right = (tries >= 3) | (n.astype(int) % 2 == 0)
+        right = n.notna() & ((tries >= 3) | (n.fillna("1").astype(int) % 2 == 0))
         return ("\\boxed{" + n.where(right, "0") + "}").astype(str)
 
     return answer
@@ -635,7 +640,8 @@ def _saved(spark: SparkSession):  # noqa: ANN202
 @query("""SELECT i AS iteration, count(*) AS n, CAST(sum(CASE WHEN n_chars % 2 = 0 OR i = 3 THEN 1 ELSE 0 END) AS BIGINT) AS correct
 FROM documents, (SELECT unnest([1, 2, 3]) AS i) WHERE i = 1 OR n_chars % 2 = 1 GROUP BY i""")
 def iterative_loop(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").where("n_chars is not null").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("string").alias("prompt"), F.col("n_chars").cast("string").alias("truth"))
+    n = F.col("n_chars").cast("string")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce(n, F.lit("none")).alias("prompt"), n.alias("truth"))
     held = loop.run_loop(docs, _stub_student, "numeric", _saved(spark), 5)
     return held.groupBy(F.col("iteration").cast("int").alias("iteration")).agg(F.count("*").alias("n"), F.count_if("is_correct").alias("correct"))
 
@@ -645,14 +651,3 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """An extension: daily windows of events."""
     e = _t(spark, d, "events")
     return e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
-
-
-@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
-def log_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Events replayed as a stream, each user once a kind, then counted by kind."""
-    events = _t(spark, d, "events").select("user_id", "event_type")
-    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    path = work_path(spark, "log-stream")
-    run = rows.dropDuplicates(["user_id", "event_type"]).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    run.option("checkpointLocation", f"{path}-state").start(path).awaitTermination()
-    return spark.read.schema(events.schema).parquet(path).groupBy("event_type").agg(F.count("user_id").alias("users"))

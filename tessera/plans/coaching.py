@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import prompts
-from ..operators import coach, prepare, sample
+from ..operators import coach, prepare, sample, stats
 from ..session import work_path
-from ..sources import records, sinks
+from ..sources import epochs, records, sinks
 from . import registry
 from .catalogue import ITER, _iterations, _saved, _t
 from .round_trips import query
@@ -80,12 +80,63 @@ def coached_loop(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'second' END AS sft_response, 'ran,ran,ended' AS kinds FROM customer")
 def coached_resume(spark: SparkSession, d: str) -> DataFrame:
     """A run over part of the questions, one over the rest, and one with nothing left."""
-    path = work_path(spark, "resumed") + ".json"
+    path = work_path(spark, "resumed")
     all_ = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"))
-    answer = lambda word: lambda left: left.select("id", F.lit(registry.CASE_A).alias("sft_case"), F.lit(word).alias("sft_response"))
+    answer = lambda word: lambda left, save: save(left.select("id", F.lit(registry.CASE_A).alias("sft_case"), F.lit(word).alias("sft_response")), 1)
     part = all_.where(F.col("id").cast("bigint") % 3 == 0)
     kinds = [coach.resumed(spark, rows, path, answer(word)) for rows, word in ((part, "first"), (all_, "second"), (all_, "third"))]
-    return records.any_log(spark, path).select("id", "sft_response", F.lit(",".join(kinds)).alias("kinds"))
+    return epochs.read(spark, path, registry.RUN).select("id", "sft_response", F.lit(",".join(kinds)).alias("kinds"))
+
+
+def _stopping(at: int | None):  # noqa: ANN202
+    """The student of the loop; asked a second time about ``at`` its process ends, as an executor's does that is lost."""
+
+    def factory():  # noqa: ANN202
+        model = _student()
+
+        def asked(prompts, system):  # noqa: ANN001, ANN202
+            if at is not None and any(p.startswith("look") or p.startswith("[") for p in prompts) and any(p.endswith(f"#{at}") for p in prompts):
+                raise SystemExit("stopped on purpose")
+            return model(prompts, system)
+
+        return asked
+
+    return factory
+
+
+@query(rf"""WITH q AS (SELECT c_custkey AS id, c_custkey % 5 AS k, chr(92) || 'boxed{{' || c_custkey || '}}' AS boxed FROM customer)
+SELECT CAST(id AS VARCHAR) AS id, CASE k WHEN 0 THEN '{registry.CASE_A}' WHEN 3 THEN '{registry.CASE_C}' WHEN 4 THEN 'skipped' ELSE '{registry.CASE_B}' END AS sft_case,
+CASE WHEN k < 3 THEN k WHEN k = 3 THEN 3 ELSE 0 END AS guided, CASE WHEN k < 3 THEN k + 1 WHEN k = 3 THEN 3 ELSE 1 END AS attempts,
+CASE WHEN k < 4 THEN CASE WHEN id = 0 OR k = 3 THEN 'plain' ELSE 'refined' END ELSE 'none' END AS entry,
+'stopped,1,ran,ended' AS kinds, true AS counted FROM q""")
+def stopped_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run whose task is lost in the second round, found and ended by the next one, and its training entries.
+
+    The second run asks nothing again of the first round: ``kinds`` has the rounds that
+    were committed when the first run stopped. ``counted``: the counters observed
+    while the log was written are those of the rows.
+    """
+    path = work_path(spark, "stopped")
+    c = _t(spark, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    questions = c.select(key.alias("id"), F.lit("").alias("instruction"), F.concat(F.lit("what is #"), key).alias("input"), prepare.answer_output(key).alias("output"))
+    run = lambda student: lambda left, save: coach.coach(left, student, _teacher, "numeric", save, "count", "step by step", _OBJECTIVES, _SHORT, 3, attempts=2)
+    kinds = []
+    try:
+        coach.resumed(spark, questions, path, run(_stopping(1)), f"{path}-training")
+    except Exception:  # noqa: BLE001  the stop that is meant
+        kinds.append("stopped")
+    rounds = records.folders(spark, f"{path}/_rounds")
+    kinds += [str(len(epochs.committed(spark, f"{path}/_rounds/{r}"))) for r in rounds]
+    kinds += [coach.resumed(spark, questions, path, run(_stopping(None)), f"{path}-training") for _ in range(2)]
+    log = epochs.read(spark, path, registry.RUN)
+    whole = stats.case_statistics(log).first().asDict()
+    live = stats.summed(epochs.committed(spark, path))
+    counted = all(live[k] == whole[k] for k in whole)
+    entries = spark.read.json(f"{path}-training").select("metadata.id", F.when(F.col("output").startswith("refined"), "refined").otherwise("plain").alias("entry"))
+    attempts = F.size(F.filter("conversation_history", lambda h: h["role"] == "student"))
+    got = log.join(entries, "id", "left").select("id", "sft_case", F.greatest(F.size(F.coalesce("scaffolding_artifacts", F.array().cast(log.schema["scaffolding_artifacts"].dataType))), F.lit(0)).alias("guided"), attempts.alias("attempts"), F.coalesce("entry", F.lit("none")).alias("entry"))
+    return got.withColumn("kinds", F.lit(",".join(kinds))).withColumn("counted", F.lit(counted))
 
 
 @query("""SELECT doc_id, 'Do.' || chr(10) || chr(10) || 'Goal solve the problem correctly, task <a{b}>' AS system, 'Do.' || chr(10) || chr(10) || 'Goal g, task <a{b}> Again.' AS again,
@@ -136,7 +187,7 @@ def design_agents(spark: SparkSession, d: str) -> DataFrame:
             return said.map(lambda _: '{"performance_objectives": [{"performance_objective": "p"}]}')
         return said.map(lambda _: '{"performance_objectives": [{"target": "one", "performance_objective": "p"}, {"target": "two", "performance_objective": "q"}]}')
 
-    docs = _t(spark, d, "documents").select("doc_id", F.lit("Do it.").alias("instruction"), F.substring("text", 1, 80).alias("input"), "lang", "n_chars", "source")
+    docs = _t(spark, d, "documents").select("doc_id", F.lit("Do it.").alias("instruction"), F.col("text").alias("input"), "lang", "n_chars", "source")
     drawn = sample.extract_samples(docs, 30, "random", F.col("n_chars"), F.col("lang"), F.col("source"), "doc_id")
     said = prompts.DEFAULTS | {"goal": "goal|{sample_count}|{train_data}", "analysis": "analysis|{instructional_goal}", "objectives": "objectives|{task_analysis}"}
     path = work_path(spark, "design") + ".json"

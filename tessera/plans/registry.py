@@ -34,6 +34,23 @@ RESULT = _struct(
     scaffolding_artifacts=T.ArrayType(ROUND),
     skip_reason=_STRING,
 )
+HISTORY = _struct(iteration=T.IntegerType(), role=_STRING, response=_STRING, evaluation=_STRING)
+REFERENCES = _struct(iteration=T.IntegerType(), references=T.ArrayType(_STRING))
+#: A row of a durable run: a result with what led to it.
+RUN = T.StructType(
+    [
+        *RESULT.fields,
+        *_struct(
+            iterations_needed=T.IntegerType(),
+            hot_count=T.LongType(),
+            lot_count=T.LongType(),
+            last_correct_iteration=T.IntegerType(),
+            last_correct_response=_STRING,
+            artifact_references=T.ArrayType(REFERENCES),
+            conversation_history=T.ArrayType(HISTORY),
+        ).fields,
+    ]
+)
 LEGACY = _struct(
     id=_STRING, instruction=_STRING, input=_STRING, output=_STRING, sft_case=_STRING, phase1_correct=_BOOL, sft_response=_STRING, initial_response=_STRING
 )
@@ -64,6 +81,7 @@ DOMAINS = {
     "logical": Domain("mcq", {"reclor": "mcq"}, {"reclor": "mcq", "anli_r2": "mcq", "anli_r3": "mcq", "bbh": "text"}),
     "commonsense": Domain("mcq", {"arc_c": "mcq"}, {"arc_c": "mcq", "strategyqa": "boolean", "openbookqa": "mcq"}),
 }
+#: Labels and configurations of the public datasets.
 ANLI_LABELS = {0: "A", 1: "B", 2: "C"}
 MATH_CONFIGS = ("algebra", "counting_and_probability", "geometry", "intermediate_algebra", "number_theory", "prealgebra", "precalculus")
 BBH_SUBTASKS = (

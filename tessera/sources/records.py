@@ -20,6 +20,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where it is missing."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType = registry.RECORD, position: str = "pos") -> DataFrame:
     """Elements of files that each hold one JSON array, with their 0-based position.
 
@@ -46,13 +53,36 @@ def _current(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:
-    """Parsable lines of a log; blank and malformed ones are passed over."""
+    """Parsable lines of a log; blank ones are passed over, malformed ones are for :func:`rejected`."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return accepted(checked(spark.read.text(path), schema), schema)
+
+
+def checked(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Each line that is not blank with its parsed row ``r``, null where it is malformed; works on a stream too."""
     spec = T.StructType([*_parsed_as(schema).fields, T.StructField("_bad", T.StringType())])
-    parsed = lines.select(F.from_json("value", spec, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
-    return _current(parsed.where("_bad is null").drop("_bad"), schema)
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", spec, {"columnNameOfCorruptRecord": "_bad"}))
+    return parsed.withColumn("r", F.when(F.col("r._bad").isNull(), F.col("r").dropFields("_bad")))
+
+
+def accepted(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The good rows of :func:`checked` lines."""
+    return _current(lines.where("r is not null").select("r.*"), schema)
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """The malformed ones of :func:`checked` lines, as they are."""
+    return lines.where("r is null").drop("r")
+
+
+def located_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file, the block of it that a task read, and their place (from 0) in that block."""
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("__at"))
+    first = lines.groupBy(F.col("file").alias("__f"), F.col("block").alias("__b")).agg(F.min("__at").alias("__first"))
+    met = lines.join(first, (F.col("file") == F.col("__f")) & (F.col("block") == F.col("__b")))
+    return met.select("value", "file", "block", (F.col("__at") - F.col("__first")).alias("line"))
 
 
 def json_log(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:

@@ -40,6 +40,25 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def replace_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines over a folder that stays whole until the new one is written: the old one steps aside before the rename and goes after it."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").json(f"{path}.new")
+    swap(spark, f"{path}.new", path)
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a finished file or folder in the place of an old one, which is never deleted first."""
+    source, system = _path(spark, new)
+    place, old = _path(spark, path)[0], _path(spark, f"{path}.old")[0]
+    if system.exists(place):
+        system.delete(old, True)
+        system.rename(place, old)
+    if not system.rename(source, place):
+        raise OSError(f"could not rename {new}")
+    system.delete(old, True)
+
+
 def export_array(rows: DataFrame, path: str, order: str | None = None) -> None:
     """One JSON array file. For results that are read whole; large ones stay as lines.
 
@@ -75,8 +94,7 @@ def write_enriched(records: DataFrame, folder: str, dataset: str, order: str | N
 def _stream_log(rows: DataFrame, path: str, summary: dict) -> None:
     """A finished log over what was there; rows pass through the driver one partition at a time."""
     spark = rows.sparkSession
-    where, system = _path(spark, path)
-    part, _ = _path(spark, f"{path}.part")
+    part, system = _path(spark, f"{path}.part")
     out = system.create(part, True)
     try:
         out.write(bytearray(b'{"scaffolding_results": ['))
@@ -85,8 +103,7 @@ def _stream_log(rows: DataFrame, path: str, summary: dict) -> None:
         out.write(bytearray(f'\n], "statistics": {json.dumps(summary)}, "is_complete": true}}'.encode()))
     finally:
         out.close()
-    system.delete(where, False)
-    system.rename(part, where)
+    swap(spark, f"{path}.part", path)
 
 
 def write_meta(rows: DataFrame, path: str, complete: bool = False) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import jsonfix, scaffold, text
 from tessera.operators import loop, prepare, resume, sample, sft, stats
 from tessera.plans import registry
-from tessera.sources import records, sinks
+from tessera.sources import epochs, records, sinks
 from tessera.streaming import log as stream
 
 CASES = {"a": registry.CASE_A, "b": registry.CASE_B, "c": registry.CASE_C, "s": registry.SKIPPED}
@@ -220,10 +220,8 @@ def test_stream_counts_an_id_once(spark, tmp_path):
     write_lines(tmp_path / "in", [result(0, "a"), result(1, "b"), result(0, "a")], ["{bad"])
     rows = stream.once(stream.read_log(spark, str(tmp_path / "in"))).select("id", "sft_case")
     for _ in range(2):
-        stream.run_to_end(rows, stream.append_once(str(tmp_path / "out")), str(tmp_path / "cp"))
-    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["q0", "q1"]
-
-
+        stream.run_to_end(rows, epochs.sink(str(tmp_path / "out")), str(tmp_path / "cp"))
+    assert sorted(r["id"] for r in epochs.read(spark, str(tmp_path / "out")).collect()) == ["q0", "q1"]
 
 
 def test_one_bad_question_fails_alone(spark):
