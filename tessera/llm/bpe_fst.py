@@ -70,6 +70,16 @@ class Transducer:
         #: By 256 times the state: the ids of what is pending when the word ends.
         self.ends: dict[int, bytes] = {}
 
+    def _renewed(self, state: int) -> int:
+        """Empties the table and gives the state at hand its new number, so a word of any length keeps the limit."""
+        pending, lasts, opened = held = self.states[state >> 8]
+        self._reset()
+        name = (lasts[0] if opened[0] == 0 else None, pending)
+        if name not in self.numbers:
+            self.numbers[name] = len(self.states)
+            self.states.append(held)
+        return self.numbers[name] << 8
+
     def _pack(self, pending: bytes, cuts: list[int]) -> bytes:
         ranks = self.ranks
         return b"".join([ranks[pending[a:b]].to_bytes(4, "little") for a, b in zip(cuts, cuts[1:])])
@@ -176,12 +186,12 @@ class Transducer:
 
     def tokens(self, data: Iterable[int]) -> Iterator[bytes]:
         """Tokens of one word, each as soon as no continuation can change it."""
-        if len(self.states) > self.limit:
-            self._reset()
-        state, moves = 0, self.moves
+        state = 0
         for byte in data:
+            if len(self.states) > self.limit:
+                state = self._renewed(state)
             key = state + byte
-            state, emitted = moves.get(key) or self._compile(key)
+            state, emitted = self.moves.get(key) or self._compile(key)
             yield from self._named(emitted)
         yield from self._named(self.ends.get(state) or self._finish(state))
 
@@ -190,17 +200,20 @@ class Transducer:
 
     def ids(self, data: bytes) -> bytes:
         """Packed ids of one word: those of ``tokens``, in one loop."""
-        if len(self.states) > self.limit:
-            self._reset()
-        state, out, known = 0, b"", self.moves.get
+        state, out, known = 0, [], self.moves.get
+        add = out.append
         for byte in data:
             move = known(state + byte)
             if move is None:
+                if len(self.states) > self.limit:
+                    state = self._renewed(state)
+                    known = self.moves.get
                 move = self._compile(state + byte)
             state, emitted = move
             if emitted:
-                out += emitted
-        return out + (self.ends.get(state) or self._finish(state))
+                add(emitted)
+        add(self.ends.get(state) or self._finish(state))
+        return b"".join(out)
 
 
 #: Marks that the public pattern matches apart from the letters before them.

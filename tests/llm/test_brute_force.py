@@ -449,6 +449,38 @@ def test_long_word_needs_no_long_lookahead():
     assert read < 300
 
 
+def test_one_word_of_a_million_letters():
+    """Equal to the public library, in time that grows with its length, within the table's limit."""
+    import time
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    machine = bpe_fst.codec(path, tokenizers.PATTERN).machine
+    public = tiktoken.Encoding("public", pat_str=tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    rnd = random.Random(3)
+    syllables = ["the", "rein", "one", "schaft", "ung", "qu", "x"]
+    word = "".join(rnd.choice(syllables) for _ in range(320_000)).encode()[:1_000_000]
+    packed = lambda ids: np.array(ids, "<u4").tobytes()
+    assert machine.ids(word[:30_000]) == packed(public.encode_ordinary(word[:30_000].decode()))
+    machine.ids(word)
+    times = []
+    for n in (250_000, 1_000_000):
+        began = time.perf_counter()
+        whole = machine.ids(word[:n])
+        times.append(time.perf_counter() - began)
+    assert times[1] < 12 * times[0] + 0.5
+    assert b"".join(machine._named(whole)) == word
+    held, machine.limit = machine.limit, 300
+    machine._reset()
+    try:
+        assert machine.ids(word[:30_000]) == packed(public.encode_ordinary(word[:30_000].decode()))
+        assert len(machine.states) <= 302
+    finally:
+        machine.limit = held
+
+
 def test_streaming_decode_of_any_bytes():
     rnd = random.Random(5)
     pool = ["é".encode(), "한".encode(), "😀".encode(), b"a", b"\xc3", b"\xe2\x82", b"\xf0\x9f\x98", b"\x80", b"\xff", b"\xe0\x80", b"\xed\xa0\x80", b"\xf4\x90", b"\xc0\xaf"]
