@@ -7,14 +7,14 @@ prefix is complete when the order leaves it. The shuffle is a range partitioning
 on (language, first word, the words after it), so a language or first word that
 holds a third of all rows is split over as many tasks as it needs; only the
 prefixes open at the two ends of a task's range are in parts, which a grouped
-sum joins afterwards.
+sum joins afterwards. To place the ranges Spark reads the texts once more.
 
 Before the shuffle, suffixes end where two neighbouring words can't be frequent:
 a first pass counts single words exactly and pairs in ``2**filter_bits`` hashed
-buckets, and a pair whose bucket stays below ``least`` is in no phrase of
-``least`` occurrences. The filter has a fixed size, has no false negatives, and
-only saves rows. Equal suffixes of a chunk, then of a task, are sent once with
-their count.
+buckets, and a pair whose bucket stays below ``filter_least`` (at most ``least``)
+is in no phrase of ``least`` occurrences. The filter has a fixed size, has no
+false negatives, and only saves rows. It asks for less than ``least`` so that
+what it saves changes little with the size of the table. Equal suffixes of a chunk are sent once with their count.
 
 Scores are of whole numbers of 38 digits, so products may pass 64 bits.
 
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: The characters that end a piece, and those between words.
 PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -105,16 +105,17 @@ def _first_pass(bits: int, top: int):  # noqa: ANN202
     table = lowered(PIECE_ENDS, BLANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.int64)
+        seen = np.zeros(1 << bits, np.uint32)
         for lang, body in chunks(batches):
             codes, words, piece = tokens(body, table)
             if not len(codes):
                 continue
             pairs = _buckets(_hashes(words), codes, lang, bits)[piece[1:] == piece[:-1]]
-            seen += np.bincount(pairs, minlength=1 << bits)
+            at, n = np.unique(pairs, return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, top)
             n = np.bincount(codes, minlength=len(words))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), words.cast(pa.string()), pa.array(n), pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary())], names=["lang", "word", "n", "block", "seen"])
-        seen = np.minimum(seen, top).astype(np.uint32 if top > 65535 else np.uint8 if top < 256 else np.uint16)
+        seen = seen.astype(np.uint32 if top > 65535 else np.uint8 if top < 256 else np.uint16)
         for i in range(0, 1 << bits, _BLOCK):
             part = seen[i : i + _BLOCK]
             if part.any():
@@ -242,18 +243,19 @@ def _counted(least: int):  # noqa: ANN202
     return run
 
 
-def frequent(docs: DataFrame, least: int = 100, max_words: int = 5, filter_bits: int = 22, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, least: int = 100, max_words: int = 5, filter_bits: int = 24, filter_least: int = 25, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All phrases of one to ``max_words`` words with ``least`` occurrences or more (lang, phrase, words, f), and each language's words (lang, n)."""
     if least < 1 or max_words < 2 or not 16 <= filter_bits <= 30:
         raise ValueError("least is 1 or more, max_words 2 or more, filter_bits 16 to 30")
+    floor = min(least, filter_least)
     source = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("body"))
-    counted = materialize(source.mapInArrow(_first_pass(filter_bits, max(least, 255)), "lang string, word string, n long, block int, seen binary"), "words")
+    counted = materialize(source.mapInArrow(_first_pass(filter_bits, max(floor, 255)), "lang string, word string, n long, block int, seen binary"), "words")
     single = counted.where("block is null").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     single = materialize(single, "single")
     totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
-    kept = docs.sparkSession.sparkContext.broadcast(pair_filter(counted, least, filter_bits))
+    kept = docs.sparkSession.sparkContext.broadcast(pair_filter(counted, floor, filter_bits))
+    discard(counted)
     suffixes = source.mapInArrow(_suffixes(kept, filter_bits, max_words), "lang string, suffix binary, n long")
-    suffixes = suffixes.groupBy("lang", "suffix").agg(F.sum("n").alias("n"))
     # A suffix starts with its first word, so this is by language and first word, and beyond it where one is hot.
     order = [F.desc("lang"), F.desc("suffix")]
     parts = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_counted(least), "lang string, phrase string, n long")
@@ -262,14 +264,14 @@ def frequent(docs: DataFrame, least: int = 100, max_words: int = 5, filter_bits:
     return materialize(both.withColumn("words", F.size(F.split("phrase", " "))), "phrases"), totals
 
 
-def mine(docs: DataFrame, least: int = 100, max_words: int = 5, top: int = 2000, cover: int = 100, filter_bits: int = 22, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def mine(docs: DataFrame, least: int = 100, max_words: int = 5, top: int = 2000, cover: int = 100, filter_bits: int = 24, filter_least: int = 25, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The ``top`` phrases of each language by the least of their cuts' scores.
 
     A cut after ``k`` words scores floor(1000 a n / (l r)). A phrase goes where a
     longer one around it has ``cover`` percent of its occurrences or more; as
     counts only fall with length, one word more decides that.
     """
-    counts, totals = frequent(docs, least, max_words, filter_bits, lang_col, text_col)
+    counts, totals = frequent(docs, least, max_words, filter_bits, filter_least, lang_col, text_col)
     words = F.split("phrase", " ")
     longer = counts.where("words > 2").select("lang", "f", F.explode(F.array(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1))).alias("w"))
     longer = longer.groupBy("lang", F.array_join("w", " ").alias("phrase")).agg(F.max("f").alias("__longer"))

@@ -51,7 +51,7 @@ def test_collocations(spark, least, bits, parts):
     held = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = [tuple(r) for r in collocations.mine(df, least=least, filter_bits=bits).collect()]
+        got = [tuple(r) for r in collocations.mine(df, least=least, filter_bits=bits, filter_least=3).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     want = plain_phrases(docs, least)
