@@ -5,7 +5,7 @@ import os
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-FEW = ("eval_accuracy", "mcq_extract", "latex_grade", "boolean_extract", "text_extract", "boxed_extract", "log_replay", "case_stats", "stratified_sample", "terciles", "scaffold_parse", "json_repair", "coached_loop", "prompt_texts", "prompt_summaries", "enriched_file", "symbolic_grade", "grade_mixed", "rejected_lines", "split_stream", "restored_ids", "question_progress", "loader_round_trip", "skewed_strata", "length_strata", "domain_report", "case_shares", "sft_goal", "iterative_loop", "nested_objectives", "coached_resume")
+FEW = ("eval_accuracy", "mcq_extract", "latex_grade", "boolean_extract", "text_extract", "boxed_extract", "log_replay", "case_stats", "stratified_sample", "terciles", "scaffold_parse", "json_repair", "coached_loop", "prompt_texts", "prompt_summaries", "enriched_file", "symbolic_grade", "rejected_lines", "restored_ids", "question_progress", "loader_round_trip", "length_strata", "domain_report")
 
 
 def key(rows):
