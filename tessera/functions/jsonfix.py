@@ -65,6 +65,15 @@ def only_object(text: str) -> str:
     return text[first:] if end < 0 else text[first : end + 1]
 
 
+def strict_object(text: str | None) -> str | None:
+    """The text as it stands, where it is one JSON object and nothing else, as canonical text; else null."""
+    try:
+        held = json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+    return json.dumps(held, ensure_ascii=False) if isinstance(held, dict) else None
+
+
 def extract_object(text: str | None) -> str | None:
     """The first reading that parses, as canonical JSON text; null if none does."""
     if text is None:

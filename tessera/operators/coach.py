@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from ..functions import prompts as ask
 from ..functions import scaffold
 from ..functions.answers import extract, grade, ground_truth
-from ..functions.jsonfix import extract_object
+from ..functions.jsonfix import extract_object, strict_object
 from ..functions.text import none_if_empty, strip, text
 from ..plans import registry
 from ..sources import sinks
 from . import resume, stats
-from .loop import Model, all_satisfied, respond
+from .calls import Calls, Model
+from .loop import all_satisfied, respond
 
 EVALUATION = T.StructType(
     [
@@ -48,6 +49,7 @@ def coach(
     max_iterations: int = 3,
     attempts: int = 3,
     backoff: float = 0.0,
+    calls: Calls | None = None,
 ) -> DataFrame:
     """One result for each of ``questions`` (id, instruction, input, output).
 
@@ -57,13 +59,14 @@ def coach(
     ``save`` writes a round and returns what it wrote, so no call runs twice. A
     question whose objectives are all met gets praise and a refined response; one
     that never meets them gets the teacher's own solution; one that fails is
-    skipped with its reason. Without objectives, or without rounds to guide, the
+    skipped with its reason. Judgements are read as JSON as they stand, and repaired
+    only where that fails; ``calls`` are the rules of model calls. Without objectives, or without rounds to guide, the
     graded answer decides. Repeated ids are separate questions.
     """
     if max_iterations < 1:
         raise ValueError("the loop needs a round")
     said = templates or ask.table()
-    call = lambda rows, prompt, model, name, **more: respond(rows, prompt, model, attempts, name, backoff, system="__system", **more)
+    call = lambda rows, prompt, model, name, **more: respond(rows, prompt, model, attempts, name, backoff, "__system", calls=calls, **more)
     problem, response = F.col("input"), F.col("response")
     none = lambda kind: F.lit(None).cast(kind)
 
@@ -92,7 +95,7 @@ def coach(
         got = call(prompted(left, first if i == 1 else again), "__prompt", student, "response")
         got = got.withColumn("predicted", extract(answer_type, text(response))).withColumn("correct", grade(answer_type, F.col("predicted"), ground_truth(F.col("output"))))
         if objectives:
-            got = call(prompted(got, ask.evaluate(said, problem, response, objectives, F.col("output"))), "__prompt", teacher, "judgement", read=extract_object)
+            got = call(prompted(got, ask.evaluate(said, problem, response, objectives, F.col("output"))), "__prompt", teacher, "judgement", read=(strict_object, extract_object))
             met = all_satisfied(F.from_json("judgement", EVALUATION)["performance_evaluation"])
         else:
             got, met = got.withColumn("judgement", none("string")), F.coalesce("correct", F.lit(False))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import extract, grade
 from ..functions.text import clip
 from ..plans import registry
-
-#: A batch of prompts, and of system messages where given, to a batch of responses; made on the executor by a factory.
-Model = Callable[..., pd.Series]
+from .calls import Asker, Calls, Model, Reader
 
 
 def all_satisfied(objectives: Column) -> Column:
@@ -70,20 +67,6 @@ def history(iterations: DataFrame, key: str, order: str, *fields: str) -> DataFr
     return iterations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("iteration"), *fields))).alias("history"))
 
 
-class Once:
-    """A factory that makes its model once in a worker process, for all tasks that run there."""
-
-    made: dict[str, Model] = {}
-
-    def __init__(self, name: str, factory: Callable[[], Model]) -> None:
-        self.name, self.factory = name, factory
-
-    def __call__(self) -> Model:
-        if self.name not in Once.made:
-            Once.made[self.name] = self.factory()
-        return Once.made[self.name]
-
-
 def respond(
     rows: DataFrame,
     prompt: str,
@@ -92,64 +75,46 @@ def respond(
     name: str = "response",
     backoff: float = 0.0,
     system: str | None = None,
-    read: Callable[[str], str | None] | None = None,
+    read: Reader | Sequence[Reader] = (),
+    calls: Calls | None = None,
+    how: str | None = None,
 ) -> DataFrame:
-    """Adds a model's response, and the error of a question that failed ``attempts`` times.
+    """Adds a model's response, and the error of a question that got none.
 
     The model is made once per task and asked in batches, with the ``system``
-    column's messages as a second argument where one is named. A batch that fails
-    is asked again question by question, so one bad question ends neither the run
-    nor its neighbours; between attempts at one question ``backoff`` seconds pass,
-    twice as many each time. ``read`` turns a response into what is kept; where it
-    gives None the question is asked again alone. A failed question carries its
-    error, cut short. A null prompt, or a row that has an error already, is not
-    asked, so that calls follow each other in one pass over the rows.
+    column's messages as a second argument where one is named, by the rules of
+    ``calls`` (``attempts`` and ``backoff`` are short for rules of no others). A
+    batch that fails is asked again question by question, so one bad question ends
+    neither the run nor its neighbours. ``read`` turns a response into what is
+    kept; of several readers the first that can read it does, and ``how`` names a
+    column for its number. Where none can the question is asked again alone. A
+    failed question carries its error, cut short. A null prompt, or a row that has
+    an error already, is not asked, so that calls follow each other in one pass
+    over the rows.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    rules = calls or Calls(attempts, backoff)
+    readers = (read,) if callable(read) else tuple(read)
     kept = [f for f in rows.schema.fields if f.name != "error"]
     held = "error" in rows.columns
-    schema = T.StructType([*kept, T.StructField(name, T.StringType()), T.StructField("error", T.StringType())])
-
-    def said(model: Model, part: pd.DataFrame) -> list[str | None]:
-        got = model(*(part[c].reset_index(drop=True) for c in part.columns))
-        plain = [None if pd.isna(x) else str(x) for x in got]
-        return [None if x is None else read(x) for x in plain] if read else plain
-
-    def alone(model: Model, one: pd.DataFrame) -> tuple[str | None, str | None]:
-        error = None
-        for k in range(attempts):
-            try:
-                got = said(model, one)[0]
-                if got is not None or read is None:
-                    return got, None
-                error = "the response could not be read"
-            except Exception as failed:  # noqa: BLE001  isolate whatever the model raises
-                error = str(failed)
-            if backoff and k + 1 < attempts:
-                time.sleep(backoff * 2**k)
-        return None, error
-
-    def many(model: Model, part: pd.DataFrame) -> list[tuple[str | None, str | None]]:
-        try:
-            got = said(model, part)
-        except Exception:  # noqa: BLE001  each question is asked alone
-            return [alone(model, part.iloc[[i]]) for i in range(len(part))]
-        return [alone(model, part.iloc[[i]]) if x is None and read else (x, None) for i, x in enumerate(got)]
+    counted = [T.StructField(how, T.IntegerType())] if how else []
+    schema = T.StructType([*kept, T.StructField(name, T.StringType()), *counted, T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory()
-        for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            errors = columns["error"].to_pylist() if held else [None] * batch.num_rows
-            asked = pd.DataFrame({c: columns[c].to_pylist() for c in (prompt, system) if c}, dtype=object)
-            at = [i for i, x in enumerate(asked[prompt]) if x is not None and errors[i] is None]
-            answers: list[str | None] = [None] * batch.num_rows
-            for i, (answer, error) in zip(at, many(model, asked.iloc[at]) if at else [], strict=True):
-                answers[i], errors[i] = answer, error
-            out = [*(columns[f.name] for f in kept), pa.array(answers, pa.string()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        with Asker(factory(), rules, readers) as asker:
+            for batch in batches:
+                columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                errors = columns["error"].to_pylist() if held else [None] * batch.num_rows
+                asked = pd.DataFrame({c: columns[c].to_pylist() for c in (prompt, system) if c}, dtype=object)
+                at = [i for i, x in enumerate(asked[prompt]) if x is not None and errors[i] is None]
+                answers: list[str | None] = [None] * batch.num_rows
+                reading: list[int | None] = [None] * batch.num_rows
+                for i, said in zip(at, asker.ask(asked.iloc[at]), strict=True):
+                    answers[i], reading[i], errors[i] = said
+                out = [*(columns[f.name] for f in kept), pa.array(answers, pa.string()), *([pa.array(reading, pa.int32())] if how else []), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     got = rows.mapInArrow(run, schema)
     return got.withColumn("error", clip(F.col("error"), 500))
@@ -162,6 +127,7 @@ def run_loop(
     save: Callable[[DataFrame, int], DataFrame],
     max_iterations: int = 5,
     scaffold: Callable[[DataFrame], Column] | None = None,
+    calls: Calls | None = None,
 ) -> DataFrame:
     """Respond, grade and try again, at most ``max_iterations`` rounds over what is unfinished.
 
@@ -172,7 +138,7 @@ def run_loop(
     left = questions.select("id", "prompt", "truth")
     rounds: list[DataFrame] = []
     for i in range(1, max_iterations + 1):
-        got = respond(left, "prompt", student)
+        got = respond(left, "prompt", student, calls=calls)
         got = got.withColumn("iteration", F.lit(i)).withColumn("predicted", extract(answer_type, F.coalesce("response", F.lit(""))))
         got = save(got.withColumn("is_correct", grade(answer_type, F.col("predicted"), F.col("truth"))), i)
         rounds.append(got)

@@ -335,8 +335,9 @@ def test_templates_keep_braces_and_empty_nulls(spark):
 
 
 def test_a_model_is_made_once_in_a_process():
-    from tessera.operators import loop
+    from tessera.operators.calls import Once
 
+    Once.clear()
     made = []
-    factory = loop.Once("test", lambda: made.append(1) or (lambda s: s))
+    factory = Once("test", lambda: made.append(1) or (lambda s: s))
     assert factory() is factory() and made == [1]

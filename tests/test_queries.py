@@ -5,7 +5,7 @@ import os
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-FEW = ("eval_accuracy", "mcq_extract", "latex_grade", "boolean_extract", "text_extract", "boxed_extract", "log_replay", "case_stats", "stratified_sample", "terciles", "scaffold_parse", "json_repair", "coached_loop", "prompt_texts", "prompt_summaries", "enriched_file", "symbolic_grade", "rejected_lines", "restored_ids", "question_progress", "loader_round_trip", "length_strata", "domain_report")
+FEW = ("eval_accuracy", "mcq_extract", "latex_grade", "boolean_extract", "text_extract", "boxed_extract", "log_replay", "case_stats", "stratified_sample", "terciles", "scaffold_parse", "json_repair", "coached_loop", "prompt_texts", "prompt_summaries", "enriched_file", "symbolic_grade", "rejected_lines", "restored_ids", "question_progress", "loader_round_trip", "length_strata", "domain_report", "bounded_calls", "strict_readings", "shared_model")
 
 
 def key(rows):
@@ -17,7 +17,7 @@ def key(rows):
 @pytest.mark.parametrize("name", FEW)
 def test_same_rows_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    from tessera.plans import catalogue, coaching, durable, round_trips  # noqa: F401
+    from tessera.plans import calling, catalogue, coaching, durable, round_trips  # noqa: F401
 
     con = duckdb.connect()
     for f in os.listdir(DATA):
