@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .markup import boxed, fraction, normal_answer, normal_latex, number
 from .symbolic import same_expression
-from .text import first_match, last_line, none_if_empty, strip, text
+from .text import first_match, last_line, let, none_if_empty, strip, text
 
 # The patterns, in order of precedence.
 MCQ_PATTERNS = (
@@ -58,12 +58,11 @@ def _last_of(c: Column, pattern: str) -> Column:
 
 def extract_mcq(c: Column) -> Column:
     """A letter A to D from a box, a telling phrase, or one of the last five lines."""
-    inside = strip(boxed(c))
     lines = F.split(strip(c), "\n")
     tail = F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), F.lit(5))
     alone = F.filter(F.transform(tail, strip), lambda x: x.isin(*MCQ_LINES))
     return F.coalesce(
-        F.when(inside.rlike(r"^[A-Da-d]$"), F.upper(inside)),
+        let(strip(boxed(c)), lambda inside: F.when(inside.rlike(r"^[A-Da-d]$"), F.upper(inside))),
         F.upper(first_match(c, *[_LINES + p for p in MCQ_PATTERNS])),
         F.left(F.try_element_at(alone, F.lit(-1)), F.lit(1)),
     )
@@ -71,7 +70,6 @@ def extract_mcq(c: Column) -> Column:
 
 def extract_numeric(c: Column) -> Column:
     """A marked number, one from a box, after a telling phrase, or the last one."""
-    inside = none_if_empty(boxed(c))
     section = (
         F.when(F.contains(c, F.lit("####")), F.element_at(F.split(c, "####"), -1))
         .when(F.lower(c).contains("answer"), F.element_at(F.split(c, "[Aa]nswer"), -1))
@@ -80,7 +78,7 @@ def extract_numeric(c: Column) -> Column:
     bare = lambda x: F.replace(x, F.lit(","), F.lit(""))
     return F.coalesce(
         bare(first_match(c, "(?U)" + NUMBER_MARKED)),
-        F.coalesce(bare(first_match(inside, "(?U)" + NUMBER_FIRST)), inside),
+        let(none_if_empty(boxed(c)), lambda inside: F.coalesce(bare(first_match(inside, "(?U)" + NUMBER_FIRST)), inside)),
         bare(first_match(c, *[_LINES + p for p in NUMBER_PATTERNS])),
         _last_of(section, "(?U)" + NUMBER_ANY),
         _last_of(c, "(?U)" + NUMBER_ANY),
@@ -135,13 +133,15 @@ def same_answer(predicted: Column, truth: Column) -> Column:
     """Equal normal forms, out of boxes, or the same expression."""
     one = normal_answer(F.coalesce(none_if_empty(boxed(truth)), truth))
     two = normal_answer(F.coalesce(none_if_empty(boxed(predicted)), predicted))
-    equal = one == two
-    equal = equal | same_expression(F.when(~equal, one), F.when(~equal, two))
+    unlike = let(F.struct(one.alias("one"), two.alias("two")), lambda p: F.when(p["one"] != p["two"], p))
+    # Null where they are equal, and where one of them is null.
+    equal = F.when(unlike.isNull(), one == two).otherwise(same_expression(unlike["one"], unlike["two"]))
     return F.when(text(truth) == "", False).otherwise(F.coalesce(equal, F.lit(False)))
 
 
 def _near(a: Column, b: Column) -> Column:
-    return F.coalesce((~F.isnan(a) & ~F.isnan(b)) & ((a == b) | (F.abs(a - b) < 1e-6)), F.lit(False))
+    near = lambda a, b: F.coalesce((~F.isnan(a) & ~F.isnan(b)) & ((a == b) | (F.abs(a - b) < 1e-6)), F.lit(False))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: near(p["a"], p["b"]))
 
 
 def grade_mcq(predicted: Column, truth: Column) -> Column:
@@ -155,11 +155,11 @@ def grade_numeric(predicted: Column, truth: Column) -> Column:
 
 
 def grade_latex(predicted: Column, truth: Column) -> Column:
-    one, two = normal_latex(predicted), normal_latex(truth)
-    a, b = number(one), number(two)
-    close = F.coalesce(F.abs(a - b) < 1e-6, F.lit(False)) & ~F.coalesce(F.isnan(a - b), F.lit(False))
+    gap = lambda p: number(p["one"]) - number(p["two"])
+    close = lambda p: let(gap(p), lambda x: F.coalesce((F.abs(x) < 1e-6) & ~F.isnan(x), F.lit(False)))
+    alike = let(F.struct(normal_latex(predicted).alias("one"), normal_latex(truth).alias("two")), lambda p: (p["one"] == p["two"]) | close(p))
     parts = F.coalesce(F.abs(fraction(predicted) - fraction(truth)) < 1e-6, F.lit(False))
-    return predicted.isNotNull() & ((one == two) | close | parts | same_answer(predicted, truth))
+    return predicted.isNotNull() & (alike | parts | same_answer(predicted, truth))
 
 
 def grade_boolean(predicted: Column, truth: Column) -> Column:

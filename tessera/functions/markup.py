@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import replace_all, strip, text
+from .text import let, replace_all, strip, text
 
 _BRACE = re.compile(r"[{}]")
 
@@ -42,7 +42,7 @@ def _boxed(responses: pd.Series) -> pd.Series:
 
 def boxed(c: Column) -> Column:
     """Balanced braces need a scan; of rows without a box only a null is sent to it."""
-    return _boxed(F.when(F.contains(text(c), F.lit("\\boxed")) | F.contains(text(c), F.lit("\\fbox")), c))
+    return _boxed(let(c, lambda x: F.when(F.contains(text(x), F.lit("\\boxed")) | F.contains(text(x), F.lit("\\fbox")), x)))
 
 
 def boxed_shallow(c: Column) -> Column:
@@ -64,15 +64,14 @@ REPLACED = (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac"
 
 def plain_markup(c: Column) -> Column:
     """Spacing commands, fraction variants and delimiters evened out; blanks gone."""
-    even = replace_all(c, *REPLACED)
-    return F.replace(F.when(F.startswith(even, F.lit(".")), F.concat(F.lit("0"), even)).otherwise(even), F.lit(" "), F.lit(""))
+    whole = lambda even: F.when(F.startswith(even, F.lit(".")), F.concat(F.lit("0"), even)).otherwise(even)
+    return F.replace(let(replace_all(c, *REPLACED), whole), F.lit(" "), F.lit(""))
 
 
 def normal_answer(c: Column) -> Column:
     r"""Stripped, out of a ``\text{}`` around all of it, then evened out."""
-    bare = strip(c)
-    inner = F.regexp_extract(bare, r"(?d)^\\text\{(.+?)\}$", 1)
-    return plain_markup(F.when(inner != "", strip(inner)).otherwise(bare))
+    inner = lambda bare: F.regexp_extract(bare, r"(?d)^\\text\{(.+?)\}$", 1)
+    return plain_markup(let(strip(c), lambda bare: F.when(inner(bare) != "", strip(inner(bare))).otherwise(bare)))
 
 
 def normal_latex(c: Column) -> Column:
@@ -85,15 +84,14 @@ def normal_latex(c: Column) -> Column:
 def fraction(c: Column) -> Column:
     """The value of the first fraction command, else of the first a/b; null over zero."""
 
-    def value(pattern: str) -> Column:
+    def value(c: Column, pattern: str) -> Column:
         top, bottom = (F.try_to_number(F.regexp_extract(c, pattern, g), F.lit("9" * 30)).cast("double") for g in (1, 2))
         return F.try_divide(top, bottom)
 
-    return F.coalesce(value(r"frac\{?(\d+)\}?\{?(\d+)\}?"), value(r"(\d+)/(\d+)"))
+    return let(c, lambda x: F.coalesce(value(x, r"frac\{?(\d+)\}?\{?(\d+)\}?"), value(x, r"(\d+)/(\d+)")))
 
 
 def number(c: Column) -> Column:
     """The text as a double the way a general float parser reads it, else null."""
-    bare = strip(c)
-    shaped = F.lower(bare).rlike(r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$")
-    return F.when(shaped, F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+    shaped = lambda bare: F.lower(bare).rlike(r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$")
+    return let(strip(c), lambda bare: F.when(shaped(bare), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double")))

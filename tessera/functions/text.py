@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,15 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` written and evaluated once, however often the body names it.
+
+    A Column used twice is an expression copied, and copies of copies grow as a
+    power of the depth. The body can't call Python, the value can.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end; ``trim`` knows blanks only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

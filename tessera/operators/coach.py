@@ -93,7 +93,7 @@ def coach(
         first = ask.student(said, problem, goal, analysis, F.col("instruction"))
         again = ask.reattempt(said, problem, F.col("guidance"), goal, analysis, F.col("instruction"))
         got = call(prompted(left, first if i == 1 else again), "__prompt", student, "response")
-        got = got.withColumn("predicted", extract(answer_type, text(response))).withColumn("correct", grade(answer_type, F.col("predicted"), ground_truth(F.col("output"))))
+        got = got.withColumns({"predicted": extract(answer_type, text(response)), "__truth": ground_truth(F.col("output"))}).withColumn("correct", grade(answer_type, F.col("predicted"), F.col("__truth")))
         if objectives:
             got = call(prompted(got, ask.evaluate(said, problem, response, objectives, F.col("output"))), "__prompt", teacher, "judgement", read=(strict_object, extract_object))
             met = all_satisfied(F.from_json("judgement", EVALUATION)["performance_evaluation"])
