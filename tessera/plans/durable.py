@@ -270,3 +270,13 @@ def raw_table(spark: SparkSession, d: str) -> DataFrame:
     docs.where("draw >= '4' and draw < '8'").write.parquet(f"{path}.parquet")
     both = records.raw(spark, f"{path}.jsonl", docs.schema).unionByName(records.raw(spark, f"{path}.parquet"))
     return both.select(F.lit(next(x for x in registry.datasets() if x.startswith("sv"))).alias("known"), "doc_id")
+
+
+@query("SELECT CAST(4 AS BIGINT) AS files, count(*) AS n FROM events")
+def file_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each file of a folder of JSON lines: how many files, and how many rows in all."""
+    path = work_path(spark, "per-file")
+    e = _t(spark, d, "events").select("event_id")
+    e.repartition(4).write.json(path)
+    per = records.records_per_file(spark.read.schema(e.schema).json(path))
+    return per.agg(F.count("*").alias("files"), F.sum("n").alias("n"))
