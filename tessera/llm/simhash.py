@@ -150,9 +150,12 @@ def _bucket_links(radius: int):
 
 def _links(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
     masks = covering_masks(radius, list(range(BITS)))
-    keys = _keys(fps.select("fp"), masks)
+    # Fingerprints are few bytes and their keys many: so many tasks make them, and by
+    # the size before the explode the planner would send all keys through the driver.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _keys(fps.select("fp").repartition(parts, "fp"), masks)
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(sizes, ["t", "k"])
+    met = keys.hint("merge").join(sizes.hint("merge"), ["t", "k"])
     small = met.where(F.col("n") <= bucket).groupBy("t", "k").agg(F.collect_list("fp").alias("v")).select("v")
     large = met.where(F.col("n") > bucket).select("fp", "t", "k").mapInArrow(_inner_keys(masks, radius), "fp long, t int, k long, t2 int, k2 long")
     large = large.groupBy("t", "k", "t2", "k2").agg(F.collect_list("fp").alias("v")).where(F.size("v") > 1).select("v")

@@ -134,6 +134,14 @@ def test_crowded_buckets(spark, bucket, radius):
     assert sorted(map(sorted, mine.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_the_keys_of_fingerprints_never_pass_the_driver(spark):
+    fps = spark.range(3000).select((F.xxhash64("id") % 500).alias("fp")).groupBy("fp").agg(F.min("fp").alias("least"))
+    links = simhash._links(fps, 5, 256)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 # ------------------------------------------------------------------------- 3
 
 
