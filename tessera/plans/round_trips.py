@@ -79,8 +79,8 @@ def legacy_file(spark: SparkSession, d: str) -> DataFrame:
     """A finished log of the older form under its current names; an old B that was not correct is a C."""
     path = work_path(spark, "legacy") + ".json"
     case = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.pmod("event_id", F.lit(3)).cast("int") + 1)
-    rows = _t(spark, d, "events").select(F.struct(F.col("event_id").cast("string").alias("id"), case.alias("sft_case"), (F.col("event_id") % 2 == 0).alias("phase1_correct")).alias("r"))
-    sinks.write_text(spark, path, '{"phase1_results": [' + ",".join(r["j"] for r in rows.select(F.to_json("r").alias("j")).toLocalIterator()) + "]}")
+    rows = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), case.alias("sft_case"), (F.col("event_id") % 2 == 0).alias("phase1_correct"))
+    sinks.write_joined(rows, path, '{"phase1_results": [', "]}")
     return records.json_log(spark, path).select("id", "scaffolding_correct", "sft_case")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,14 +27,48 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
 
 
+def _in_lines(spark: SparkSession, path: str, schema: T.StructType, head: str, tail: str) -> DataFrame | None:
+    """Elements ``r`` of files that have one a line, with ``file`` and their order ``at``; None where a file is laid out otherwise.
+
+    Such a file is a first line like ``head``, elements with a comma between two,
+    and a last line that ends the JSON which ``tail`` (a text ahead of it) begins.
+    It is read in as many tasks as it has blocks.
+    """
+    spec = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    lines = lines.where("value <> ''").withColumns({"body": F.trim("value", F.lit(", \t\r")), "at": F.monotonically_increasing_id()})
+    lines = lines.withColumn("r", F.when(F.col("body").startswith("{") & F.col("body").endswith("}"), F.from_json("body", spec, {"columnNameOfCorruptRecord": "_bad"})))
+    element = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    kind = F.when(element, "element").when(F.col("value").rlike(head), "head").when(F.get_json_object(F.concat(F.lit(tail), "value"), "$.r") == "[]", "tail").otherwise("other")
+    comma = lambda at: F.count_if(element & at)
+    per = lines.groupBy("file").agg(
+        (F.count_if(~element) == 2).alias("two"),
+        ((F.min_by(kind, "at") == "head") & (F.max_by(kind, "at") == "tail")).alias("ends"),
+        (comma(F.col("value").startswith(",")) + comma(F.col("value").endswith(",")) == F.count_if(element) - 1).alias("commas"),
+    )
+    if not per.agg(F.bool_and(F.col("two") & F.col("ends") & F.col("commas"))).first()[0]:
+        return None
+    return lines.where(F.col("body").startswith("{") & F.col("body").endswith("}")).select("file", F.col("r").dropFields("_bad").alias("r"), "at")
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType = registry.RECORD, position: str = "pos") -> DataFrame:
     """Elements of files that each hold one JSON array, with their 0-based position.
 
-    The schema is given: inference would drop a column that is always empty.
+    The schema is given: inference would drop a column that is always empty. Files
+    with an element a line are read in parts, others whole.
     """
-    whole = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", T.ArrayType(schema))
-    return whole.select(F.posexplode(parsed).alias(position, "r")).select(position, "r.*")
+    held = _in_lines(spark, path, schema, r"^\[$", '{"r": [') if "_bad" not in schema.names else None
+    if held is None:
+        whole = spark.read.text(path, wholetext=True)
+        parsed = F.from_json("value", T.ArrayType(schema))
+        return whole.select(F.posexplode(parsed).alias(position, "r")).select(position, "r.*")
+    held = held.drop("at").withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    # Blocks of a file are read in its order; each begins where those before it end.
+    parts = held.groupBy("file", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("file").alias("__file"), F.col("__part").alias("__block"), (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__base"))
+    placed = held.join(parts, (F.col("file") == F.col("__file")) & (F.col("__part") == F.col("__block")))
+    return placed.select((F.col("__at") + F.col("__base")).cast("int").alias(position), "r.*")
 
 
 _OLD = T.StructField("phase1_correct", T.BooleanType())
@@ -85,14 +119,34 @@ def located_lines(spark: SparkSession, path: str) -> DataFrame:
     return met.select("value", "file", "block", (F.col("__at") - F.col("__first")).alias("line"))
 
 
+_LOG_HEAD = r'^\{"(scaffolding|phase1)_results": ?\[$'
+
+
 def json_log(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:
-    """Rows of a finished log: its results, or those of the older form under their current names."""
-    rows = T.ArrayType(_parsed_as(schema))
-    held = T.StructType([T.StructField("scaffolding_results", rows), T.StructField("phase1_results", rows)])
+    """Rows of a finished log: its results, or those of the older form under their current names.
+
+    A log with a result a line is read in parts, any other whole.
+    """
+    kind = _parsed_as(schema)
+    held = T.StructType([T.StructField("scaffolding_results", T.ArrayType(kind)), T.StructField("phase1_results", T.ArrayType(kind))])
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", held).alias("r"))
-    return _current(whole.select(F.explode(F.coalesce("r.scaffolding_results", "r.phase1_results")).alias("x")).select("x.*"), schema)
+    rows = _in_lines(spark, path, kind, _LOG_HEAD, '{"r": [')
+    if rows is None:
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", held).alias("r"))
+        rows = whole.select(F.explode(F.coalesce("r.scaffolding_results", "r.phase1_results")).alias("r"))
+    return _current(rows.select("r.*"), schema)
+
+
+def log_end(spark: SparkSession, path: str) -> str | None:
+    """What a finished log says of its completeness, from its last line where it has a result a line."""
+    if _in_lines(spark, path, T.StructType([T.StructField("id", T.StringType())]), _LOG_HEAD, '{"r": [') is None:
+        said = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.is_complete").alias("c"))
+    else:
+        last = F.concat(F.lit('{"r": ['), F.trim("value"))
+        said = spark.read.text(path).where(F.trim("value").startswith("]")).select(F.get_json_object(last, "$.is_complete").alias("c"))
+    row = said.first()
+    return row and row["c"]
 
 
 def any_log(spark: SparkSession, path: str, schema: T.StructType = registry.RESULT) -> DataFrame:

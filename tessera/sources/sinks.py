@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..plans import registry
-from .records import any_log, exists, json_array, json_lines
+from .records import any_log, exists, json_array, json_lines, log_end
 
 
 def _path(spark: SparkSession, path: str):  # noqa: ANN202
@@ -59,22 +59,42 @@ def swap(spark: SparkSession, new: str, path: str) -> None:
     system.delete(old, True)
 
 
-def export_array(rows: DataFrame, path: str, order: str | None = None) -> None:
-    """One JSON array file. For results that are read whole; large ones stay as lines.
+def write_joined(rows: DataFrame, path: str, head: str, tail: str, order: str | None = None) -> None:
+    """One file of ``head``, a line of JSON for each row with commas between, and ``tail``.
 
-    Rows stream to the driver a partition at a time and are never all held.
+    Tasks write the lines, in ranges where an order is given, as parts below
+    ``path`` with a comma ahead of every row but the first. The parts are then
+    appended to one another as bytes by the file system's own copy, with a buffer
+    of fixed size: no row is sent to the driver.
     """
     spark = rows.sparkSession
-    where, system = _path(spark, path)
-    lines = (rows.orderBy(order) if order else rows).select(F.to_json(F.struct("*")).alias("line"))
-    out = system.create(where, True)
+    parts, system = _path(spark, f"{path}.parts")
+    rows = rows.orderBy(order) if order else rows
+    rows.select(F.concat(F.lit(","), F.to_json(F.struct("*"))).alias("value")).write.mode("overwrite").text(f"{path}.parts", compression="none")
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = system.create(_path(spark, path)[0], True)
     try:
-        out.write(bytearray(b"["))
-        for i, row in enumerate(lines.toLocalIterator()):
-            out.write(bytearray(((",\n" if i else "\n") + row["line"]).encode()))
-        out.write(bytearray(b"\n]\n"))
+        out.write(bytearray(head.encode()))
+        first = True
+        for part in sorted((x for x in system.listStatus(parts) if x.getLen() and x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName()):
+            held = system.open(part.getPath())
+            try:
+                if first:
+                    held.seek(1)  # its comma
+                    out.write(bytearray(b"\n"))
+                    first = False
+                copy(held, out, 1 << 20, False)
+            finally:
+                held.close()
+        out.write(bytearray(tail.encode()))
     finally:
         out.close()
+    system.delete(parts, True)
+
+
+def export_array(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """One JSON array file, an element a line."""
+    write_joined(rows, path, "[", "]\n", order)
 
 
 def write_samples(rows: DataFrame, base: str, domain: str, dataset: str, order: str | None = None) -> str:
@@ -91,19 +111,10 @@ def write_enriched(records: DataFrame, folder: str, dataset: str, order: str | N
     return path
 
 
-def _stream_log(rows: DataFrame, path: str, summary: dict) -> None:
-    """A finished log over what was there; rows pass through the driver one partition at a time."""
-    spark = rows.sparkSession
-    part, system = _path(spark, f"{path}.part")
-    out = system.create(part, True)
-    try:
-        out.write(bytearray(b'{"scaffolding_results": ['))
-        for i, row in enumerate(rows.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator()):
-            out.write(bytearray(((",\n" if i else "\n") + row["line"]).encode()))
-        out.write(bytearray(f'\n], "statistics": {json.dumps(summary)}, "is_complete": true}}'.encode()))
-    finally:
-        out.close()
-    swap(spark, f"{path}.part", path)
+def _write_log(rows: DataFrame, path: str, summary: dict) -> None:
+    """A finished log over what was there, a result a line."""
+    write_joined(rows, f"{path}.part", '{"scaffolding_results": [', f'], "statistics": {json.dumps(summary)}, "is_complete": true}}')
+    swap(rows.sparkSession, f"{path}.part", path)
 
 
 def write_meta(rows: DataFrame, path: str, complete: bool = False) -> None:
@@ -127,7 +138,7 @@ def finalise(spark: SparkSession, path: str, state: DataFrame | None = None) ->
         kind, rows = "final", any_log(spark, path)
     else:
         kind, rows = "state", spark.createDataFrame([], registry.RESULT) if state is None else state
-    _stream_log(rows, path, stats.case_statistics(rows).first().asDict())
+    _write_log(rows, path, stats.case_statistics(rows).first().asDict())
     if kind == "lines":
         for one in (lines, path.removesuffix(".json") + "_meta.json"):
             where, system = _path(spark, one)
@@ -139,8 +150,7 @@ def finished(spark: SparkSession, path: str, training: str) -> bool:
     """Whether a run has nothing left to do: both results are there, no line log, and it is marked complete."""
     if exists(spark, path.removesuffix(".json") + ".jsonl") or not (exists(spark, path) and exists(spark, training)):
         return False
-    held = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.is_complete").alias("c")).first()
-    return held is not None and held["c"] == "true"
+    return log_end(spark, path) == "true"
 
 
 def evaluations(rows: DataFrame, path: str) -> None:

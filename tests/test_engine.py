@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import jsonfix, scaffold, text
 from tessera.operators import loop, prepare, resume, sample, sft, stats
@@ -69,6 +70,40 @@ def test_finalise_turns_lines_into_the_log(spark, tmp_path):
     assert sft.entries(records.any_log(spark, path)).count() == 10
 
 
+def test_a_log_with_a_result_a_line_is_read_in_parts(spark, tmp_path):
+    path, size = str(tmp_path / "log.json"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("A").alias("sft_case"), (F.col("id") % 2 == 0).alias("phase1_correct"))
+    sinks.write_joined(rows.repartition(5), path, '{"phase1_results": [', "]}")
+    assert len(json.loads((tmp_path / "log.json").read_text())["phase1_results"]) == 4000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = records.json_log(spark, path)
+        assert got.rdd.getNumPartitions() > 4
+        assert {r["id"] for r in got.collect()} == {str(i) for i in range(4000)}
+        sinks.export_array(rows.withColumn("n", F.col("id").cast("long")), f"{path}-array", "n")
+        kind = T.StructType([T.StructField("id", T.StringType())])
+        assert all(str(r["pos"]) == r["id"] for r in records.json_array(spark, f"{path}-array", kind).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize(
+    ("body", "ids"),
+    [
+        ('{"phase1_results": [{"id": "a"}, {"id": "b"}]}', ["a", "b"]),
+        ('{"phase1_results": [\n{"id": "a"},\n {"id": "b"}\n]}\n', ["a", "b"]),
+        ('{"scaffolding_results": [\n{"id": "a"}\n,{"id": "b"}\n], "phase1_results": [\n{"id": "c"}\n]}', ["a", "b"]),
+        ('{\n  "scaffolding_results": [\n    {\n      "id": "a"\n    }\n  ]\n}', ["a"]),
+        ('{"scaffolding_results": [\n{"id": "a"}\n{"id": "b"}\n]}', []),
+        ('{"scaffolding_results": [\n{"id": "a"}\n,{"id": \n]}', []),
+        ('{"scaffolding_results": []}', []),
+    ],
+)
+def test_any_layout_of_a_log_has_the_same_rows(spark, tmp_path, body, ids):
+    (tmp_path / "log.json").write_text(body)
+    assert sorted(r["id"] for r in records.json_log(spark, str(tmp_path / "log.json")).collect()) == ids
+
+
 def test_finalise_from_state(spark, tmp_path):
     assert sinks.finalise(spark, str(tmp_path / "x.json"), frame(spark, [result(0, "a"), result(1, "b")])) == "state"
     assert records.json_log(spark, str(tmp_path / "x.json")).count() == 2
