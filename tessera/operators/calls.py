@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 
 #: A batch of prompts, and of system messages where given, to a batch of responses; made on the executor by a factory.
@@ -17,6 +18,8 @@ Model = Callable[..., pd.Series]
 Reader = Callable[[str], str | None]
 #: What became of a question: its answer, which reader read it, and its error.
 Said = tuple[str | None, int | None, str | None]
+#: The questions of a call: an array for each of the model's arguments.
+Part = list[np.ndarray]
 
 # What the text of a server's error holds.
 SERVER_ERRORS = ("500", "502", "503", "Internal Server Error")
@@ -97,16 +100,17 @@ class Asker:
             self.pool.shutdown(cancel_futures=True)
 
     def ask(self, asked: pd.DataFrame) -> list[Said]:
+        columns = [asked[c].to_numpy(object) for c in asked.columns]
         size = self.calls.size or -(-len(asked) // self.calls.in_flight) or 1
-        parts = [asked.iloc[i : i + size] for i in range(0, len(asked), size)]
+        parts = [[c[i : i + size] for c in columns] for i in range(0, len(asked), size)]
         done: Iterator[list[Said]] = self.pool.map(self._together, parts) if self.pool else map(self._together, parts)
         return [x for part in done for x in part]
 
-    def _call(self, part: pd.DataFrame) -> list[Said]:
+    def _call(self, part: Part) -> list[Said]:
         self.bucket.take()
-        got = list(self.model(*(part[c].reset_index(drop=True) for c in part.columns)))
-        if len(got) != len(part):
-            raise ValueError(f"{len(got)} responses to {len(part)} questions")
+        got = list(self.model(*(pd.Series(c, dtype=object) for c in part)))
+        if len(got) != len(part[0]):
+            raise ValueError(f"{len(got)} responses to {len(part[0])} questions")
         return [(None, None, None) if pd.isna(x) else self._read(str(x)) for x in got]
 
     def _read(self, text: str) -> Said:
@@ -117,22 +121,23 @@ class Asker:
                 return kept, k, None
         return None, None, UNREAD
 
-    def _together(self, part: pd.DataFrame) -> list[Said]:
+    def _together(self, part: Part) -> list[Said]:
         """A part in one call; where it fails each question alone, and alone those that could not be read."""
-        if len(part) == 1:
+        one = lambda i: [c[i : i + 1] for c in part]
+        if len(part[0]) == 1:
             return [self._alone(part, self.calls.attempts)]
         try:
             got = self._call(part)
         except Exception:  # noqa: BLE001  one bad question may have failed them all
-            return [self._alone(part.iloc[[i]], self.calls.attempts) for i in range(len(part))]
+            return [self._alone(one(i), self.calls.attempts) for i in range(len(part[0]))]
         more = self.calls.attempts - 1
-        again = lambda i, x: self._alone(part.iloc[[i]], more) if more and self._unread(x) else x
+        again = lambda i, x: self._alone(one(i), more) if more and self._unread(x) else x
         return [again(i, x) if self._unread(x) else x for i, x in enumerate(got)]
 
     def _unread(self, said: Said) -> bool:
         return bool(self.readers) and said[0] is None
 
-    def _alone(self, one: pd.DataFrame, attempts: int) -> Said:
+    def _alone(self, one: Part, attempts: int) -> Said:
         for k in range(attempts):
             try:
                 said = self._call(one)[0]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import extract, grade
@@ -67,6 +68,31 @@ def history(iterations: DataFrame, key: str, order: str, *fields: str) -> DataFr
     return iterations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("iteration"), *fields))).alias("history"))
 
 
+#: Questions that a task holds as Python objects at once.
+_PIECE = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside sends rows to Python in batches of a piece: of long rows a few model passes in each of a machine's tasks hold one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(min(_PIECE, int(held)) if int(held) > 0 else _PIECE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to twice as many tasks as run at once.
+
+    Calls take far longer than rows do to move, and a small table is one file and
+    one task, however many questions it has.
+    """
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def respond(
     rows: DataFrame,
     prompt: str,
@@ -104,7 +130,7 @@ def respond(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Asker(factory(), rules, readers) as asker:
-            for batch in batches:
+            for batch in (b.slice(k, _PIECE) for b in batches for k in range(0, b.num_rows, _PIECE)):
                 columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 errors = columns["error"].to_pylist() if held else [None] * batch.num_rows
                 asked = pd.DataFrame({c: columns[c].to_pylist() for c in (prompt, system) if c}, dtype=object)
@@ -138,7 +164,7 @@ def run_loop(
     left = questions.select("id", "prompt", "truth")
     rounds: list[DataFrame] = []
     for i in range(1, max_iterations + 1):
-        got = respond(left, "prompt", student, calls=calls)
+        got = respond(spread(left), "prompt", student, calls=calls)
         got = got.withColumn("iteration", F.lit(i)).withColumn("predicted", extract(answer_type, F.coalesce("response", F.lit(""))))
         got = save(got.withColumn("is_correct", grade(answer_type, F.col("predicted"), F.col("truth"))), i)
         rounds.append(got)

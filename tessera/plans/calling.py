@@ -52,7 +52,7 @@ CASE c_custkey % 4 WHEN 2 THEN 'bad request after 1' WHEN 3 THEN 'Internal Serve
 def bounded_calls(spark: SparkSession, d: str) -> DataFrame:
     """Four calls in flight: a server's error is asked again, three times at most, a request's own error never."""
     rows = _t(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("prompt"))
-    got = loop.respond(rows, "prompt", _Stub, calls=Calls(attempts=3, in_flight=4, size=1, rate=20000, burst=100))
+    got = loop.respond(loop.spread(rows), "prompt", _Stub, calls=Calls(attempts=3, in_flight=4, size=1, rate=20000, burst=100))
     return got.select("c_custkey", F.regexp_replace("response", "True$", "true").alias("response"), "error")
 
 
@@ -65,7 +65,7 @@ def strict_readings(spark: SparkSession, d: str) -> DataFrame:
     """JSON as it stands, JSON that needs a fence or an escape mended, and text that is none: which reader read it."""
     model = lambda: lambda prompts: prompts.map(lambda p: _FORMS[int(p) % 4] % p)
     rows = _t(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("prompt"))
-    got = loop.respond(rows, "prompt", model, attempts=2, read=(strict_object, extract_object), how="reader")
+    got = loop.respond(loop.spread(rows), "prompt", model, attempts=2, read=(strict_object, extract_object), how="reader")
     return got.select("c_custkey", F.get_json_object("response", "$.a").alias("a"), "reader", "error")
 
 

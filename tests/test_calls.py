@@ -5,6 +5,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions.jsonfix import extract_object, strict_object
 from tessera.operators.calls import Asker, Bucket, Calls, Once, transient
@@ -138,3 +139,29 @@ def test_models_by_name_and_device_the_oldest_ends_first():
     assert ended == ["agpu"]
     Once.clear()
     assert sorted(ended) == ["a", "agpu", "b"]
+
+
+def test_questions_of_one_file_are_asked_by_many_tasks(spark, tmp_path):
+    spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    from tessera.plans import calling
+
+    got = calling.bounded_calls(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert got.count() == 40
+
+
+def test_a_round_is_dealt_out_and_sent_in_small_batches(spark):
+    from tessera.operators import coach
+
+    model = lambda: lambda prompts, _: prompts.map(lambda _: f"\\boxed{{1}} {len(prompts)}")
+    rows = spark.range(3000).coalesce(1).select("id", F.lit("").alias("instruction"), F.lit("q").alias("input"), F.lit("\\boxed{1}").alias("output"))
+    tasks, sizes, held = [], set(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def save(got, _):
+        tasks.append(got.rdd.getNumPartitions())
+        sizes.add(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return spark.createDataFrame(got.limit(0).collect(), got.schema)
+
+    coach.coach(rows, model, model, "numeric", save, max_iterations=1)
+    assert tasks[0] >= spark.sparkContext.defaultParallelism and sizes == {"1000"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
