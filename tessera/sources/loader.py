@@ -1,7 +1,7 @@
 """A data source of records by dataset: ``spark.read.format("tessera_records")``.
 
 Below ``path`` each dataset is a folder ``dataset=<name>`` of JSON line files.
-The reader plans one partition per file; a filter on ``dataset`` (equality or a
+The reader plans a partition for every ``_SPLIT`` bytes of a file; a filter on ``dataset`` (equality or a
 list) is taken over and leaves whole folders unread. The writer lets every task
 write files aside; the commit moves those of the tasks that count into place, and
 an abort, or a task that is repeated, leaves nothing behind that a reader sees.
@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 NAME = "tessera_records"
 #: Rows of a record batch.
 _BATCH = 5000
+#: Bytes of a file that one task reads.
+_SPLIT = 64 << 20
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -36,6 +38,8 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
 class File(InputPartition):
     path: str
     dataset: str
+    start: int = 0
+    end: int = 0
 
 
 @dataclass
@@ -79,7 +83,8 @@ class Reader(DataSourceReader):
             kind, _, name = folder.base_name.partition("=")
             name = unquote(name)
             if kind == "dataset" and (self.wanted is None or name in self.wanted):
-                out += [File(x.path, name) for x in system.get_file_info(fs.FileSelector(folder.path)) if x.is_file and x.size]
+                files = [x for x in system.get_file_info(fs.FileSelector(folder.path)) if x.is_file and x.size]
+                out += [File(x.path, name, k, min(k + _SPLIT, x.size)) for x in files for k in range(0, x.size, _SPLIT)]
         return out or [File("", "")]
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
@@ -89,15 +94,21 @@ class Reader(DataSourceReader):
             return
         schema = to_arrow_schema(self.names)
         system, _ = _at(self.base)
-        with system.open_input_stream(partition.path) as lines:
+        with system.open_input_file(partition.path) as lines:
+            # A line is of the part that it begins in; what is ahead of the first one ends in another part.
+            skip, at = partition.start > 0, max(0, partition.start - 1)
+            lines.seek(at)
             rest, held = b"", []
-            while block := lines.read(1 << 20):
+            while at < partition.end and (block := lines.read(1 << 20)):
                 *whole, rest = (rest + block).split(b"\n")
-                held += [json.loads(x) for x in whole if x]
+                for x in whole:
+                    if x and not skip and at < partition.end:
+                        held.append(json.loads(x))
+                    skip, at = False, at + len(x) + 1
                 while len(held) >= _BATCH:
                     yield self._batch(held[:_BATCH], partition.dataset, schema)
                     held = held[_BATCH:]
-            held += [json.loads(rest)] if rest else []
+            held += [json.loads(rest)] if rest and not skip and at < partition.end else []
             if held:
                 yield self._batch(held, partition.dataset, schema)
 

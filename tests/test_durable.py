@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import symbolic
 from tessera.operators import coach, loop, sample, stats
@@ -153,6 +154,18 @@ def test_the_data_source_reads_only_what_is_asked_and_aborts_whole(spark, tmp_pa
     assert spark.read.format(loader.NAME).load(path).count() == 2
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_a_large_file_is_read_in_parts_and_each_line_once(tmp_path, monkeypatch, size):
+    monkeypatch.setattr(loader, "_SPLIT", size)
+    (tmp_path / "dataset=a").mkdir()
+    (tmp_path / "dataset=a" / "x.jsonl").write_text("\n".join(f'{{"id": "{"é" * (i % 5)}{i}"}}' + "\n" * (i % 3 == 0) for i in range(20)))
+    kind = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("id", T.StringType())])
+    reader = loader.Reader(kind, {"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == -(-(tmp_path / "dataset=a" / "x.jsonl").stat().st_size // size)
+    assert [x for p in parts for b in reader.read(p) for x in b.column(1).to_pylist()] == [f"{'é' * (i % 5)}{i}" for i in range(20)]
+
+
 @pytest.mark.parametrize("k", [3, 50])
 def test_bottom_is_the_first_of_each_group(spark, k):
     rnd = random.Random(k)
