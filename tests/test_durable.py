@@ -204,3 +204,10 @@ def test_rejected_lines_have_their_place(spark, tmp_path):
     held = records.checked(records.located_lines(spark, str(tmp_path)), registry.RESULT)
     assert sorted((r["line"], r["value"]) for r in records.rejected(held).collect()) == [(2, '{"id": '), (4, "nope")]
     assert sorted(r["id"] for r in records.accepted(held, registry.RESULT).collect()) == ["a", "b"]
+
+
+def test_a_pair_of_expressions_is_computed_once(monkeypatch):
+    read, first = symbolic.parsed, []
+    monkeypatch.setattr(symbolic, "parsed", lambda text: first.append(text) or read(text))
+    assert [symbolic.equal("7931(x+1)", "7931x+7931") for _ in range(50)] == [True] * 50
+    assert len(first) == 2
