@@ -9,6 +9,9 @@ matter, and all nodes above such a node are such nodes, so the tree is built by
 stack over sliding minima alone. A window is cut to the subsequences of that
 least length that hold c: anything longer holds one of them.
 
+Windows of one text that have one hash at places near each other (a line that is
+repeated) are taken as one, from the first place to the last.
+
 Passages that resemble each other share a least hash with a chance equal to their
 similarity, under each of ``hashes`` functions; windows with one signature are
 joined where they lie around their common place, and verified: the best stretch
@@ -16,17 +19,22 @@ of one and of the other, of ``min_words`` or more, must have a Jaccard
 similarity of shingles of ``similarity`` at least.
 
 Windows with equal content are one item; where several texts have it, all of it
-is a passage. A pair of items is passed over only where it can add nothing: both
-are in one class and each one's stretch is part of a passage found already. A
-signature with over ``group`` items (a common sentence) is divided by least hashes
-of further functions around the same place; what is still larger is compared with
-one item as leader, and items that are unlike it, or alike in part of their
-window, with all, in blocks. So no task gathers an unbounded group; pairs of a
-divided signature meet if they share one of the further least hashes.
+is a passage. Items are left out that have no stretch of which enough shingles
+stand in any other text's item of the signature, as nothing can be like them. Of
+the others every pair is verified that is not in one class yet. The passages of an
+item are the stretches that the items of its class and signature hold: of two sets
+of one size such a share makes the similarity; the lesser share that a verified
+pair can have counts in texts without other passages. So neither the order of the
+items nor who compares them changes a result.
+
+A signature with ``group`` items or less is solved in one task. Of a larger one,
+shingles are counted in a shuffle, items that are left are compared with one of
+them as leader, and those not of its class with all, in blocks. So no task gathers
+an unbounded group, and no pair is passed over.
 
 Returned are the documents that share a passage with another one. Defined
 cases: a null text counts as empty; very long texts have windows like any other,
-each of bounded length; of equal least hashes the first is the place of a window; texts under ``min_words`` words share
+and a line repeated through all of a text is one window; of equal least hashes the first is the place of a window; texts under ``min_words`` words share
 nothing; repeated rows of one id count as one document, rows with a null id as
 one where their texts are equal; an empty table gives an empty table; other
 columns are not read.
@@ -57,7 +65,6 @@ class Settings:
     min_words: int = 50
     similarity: float = 0.8
     hashes: int = 2
-    further: int = 4
     group: int = 200
 
     @property
@@ -66,14 +73,25 @@ class Settings:
         return self.min_words - self.width + 1
 
 
+class _Hashes(dict):
+    """Hashes of words seen before, in a bounded table."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+_known = _Hashes()
+
+
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
     """64-bit hashes of word shingles, from hashes of the words."""
     words = data.lower().split()
     if len(words) < width:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    known = {w: digest(w) for w in set(words)}
-    h = np.array([known[w] for w in words], np.uint64)
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     out = np.zeros(n, np.uint64)
     for k in range(width):
@@ -127,7 +145,7 @@ def _signed(x: int) -> int:
 
 
 def _cut(s: Settings):
-    names = ["rid", "sig", "ctx", "c", "lo", "hi"]
+    names = ["rid", "sig", "ctx", "c", "e", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -139,247 +157,374 @@ def _cut(s: Settings):
                     raw = h.tobytes()
                     for f in range(s.hashes):
                         g = _under(h, f)
-                        for c, first, last in compact_windows(g, s.least):
-                            lo, hi = max(first, c - s.least + 1), min(last, c + s.least - 1)
-                            out.append((rid, _signed(int(g[c])), _signed(digest(raw[8 * lo : 8 * hi + 8], c - lo)), c, lo, hi))
-                c = list(zip(*out)) if out else [()] * 6
+                        for sig, c, e, lo, hi in _runs(g, s.least):
+                            out.append((rid, _signed(sig), _signed(digest(raw[8 * lo : 8 * hi + 8], (c - lo) + (e - c << 20))), c, e, lo, hi))
+                c = list(zip(*out)) if out else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in c], names=names)
 
     return run
 
 
+def _runs(g: np.ndarray, least: int) -> list[tuple[int, int, int, int, int]]:
+    """``(hash, first place, last place, first, last)``: cut windows, those of one hash and near places as one."""
+    out: list[tuple[int, int, int, int, int]] = []
+    latest: dict[int, int] = {}
+    windows = list(compact_windows(g, least))
+    if not windows:
+        return out
+    c, first, last = np.array(windows).T
+    lows, highs = np.maximum(first, c - least + 1), np.minimum(last, c + least - 1)
+    for sig, c, lo, hi in zip(g[c].tolist(), c.tolist(), lows.tolist(), highs.tolist()):
+        k = latest.get(sig)
+        if k is not None and c - out[k][2] <= least and lo <= out[k][4] + 1:
+            out[k] = (sig, out[k][1], c, out[k][3], max(hi, out[k][4]))
+            continue
+        latest[sig] = len(out)
+        out.append((sig, c, c, lo, hi))
+    return out
+
+
+_KINDS = {"sig": pa.int64(), "ctx": pa.int64(), "rid": pa.int64(), "label": pa.int64(), "whole": pa.bool_(), "a": pa.int64(), "e": pa.int64(), "lo": pa.int64(), "h": pa.binary()}
+_ITEM = "sig long, ctx long, rid long, label long, whole boolean, a long, e long, lo long, h binary"
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    c = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds.values())], names=list(kinds))
+
+
 def _fetch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             out: list[tuple] = []
             for rid, packed, want in zip(batch.column("rid").to_pylist(), batch.column("packed"), batch.column("want")):
                 # Half of each hash tells the shingles of two windows apart.
                 h = (shingle_hashes(unpack.decompress(packed.as_py()), width) >> np.uint64(32)).astype("<u4")
                 for w in want.as_py():
-                    out.append((w["sig"], w["ctx"], rid, w["label"], w["whole"], w["c"] - w["lo"], w["lo"], h[w["lo"] : w["hi"] + 1].tobytes()))
-            c = list(zip(*out)) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds)], names=["sig", "ctx", "rid", "label", "whole", "a", "lo", "h"])
+                    out.append((w["sig"], w["ctx"], rid, w["label"], w["whole"], w["c"] - w["lo"], w["e"] - w["lo"], w["lo"], h[w["lo"] : w["hi"] + 1].tobytes()))
+            yield _batch(out, _KINDS)
 
     return run
 
 
-def _stretch(hits: np.ndarray, at: int, least: int, need: float) -> tuple[int, int] | None:
-    """The stretch around ``at`` with most hits among the shortest, lengthened while it stays dense."""
+def stretches(hits: np.ndarray, a: int, e: int, least: int, need: float) -> list[tuple[int, int]]:
+    """Stretches around the places ``a`` to ``e`` of which ``need`` are hits.
+
+    Of each run of dense starts the first best one, lengthened by the hits beside it.
+    """
+    low, high = max(0, a - least + 1), min(e, len(hits) - least)
+    if low > high:
+        return []
     total = np.concatenate([[0], np.cumsum(hits)])
-    starts = np.arange(max(0, at - least + 1), min(at, len(hits) - least) + 1)
-    if not len(starts):
-        return None
-    got = total[starts + least] - total[starts]
-    best = int(got.argmax())
-    i, j = int(starts[best]), int(starts[best]) + least
-    if got[best] < need * least:
-        return None
-    while i > 0 and hits[i - 1]:
-        i -= 1
-    while j < len(hits) and hits[j]:
-        j += 1
-    return i, j
-
-
-def alike(x: np.ndarray, a: int, y: np.ndarray, b: int, s: Settings) -> tuple[tuple[int, int], tuple[int, int]] | None:
-    """Verified stretches of both around their common place, if there are any."""
-    # Sets of equal size n that share m have similarity m / (2 n - m).
-    need = 2 * s.similarity / (1 + s.similarity) * 0.9
-    one = _stretch(np.isin(x, y), a, s.least, need)
-    if one is None:
-        return None
-    two = _stretch(np.isin(y, x[one[0] : one[1]]), b, s.least, need)
-    if two is None:
-        return None
-    p, q = set(x[one[0] : one[1]].tolist()), set(y[two[0] : two[1]].tolist())
-    if len(p & q) >= s.similarity * len(p | q):
-        return one, two
-    return None
+    got = total[low + least : high + least + 1] - total[low : high + 1]
+    dense = np.flatnonzero(got >= need * least)
+    if not len(dense):
+        return []
+    out: list[tuple[int, int]] = []
+    misses = None
+    for part in np.split(dense, np.flatnonzero(np.diff(dense) > 1) + 1) if dense[-1] - dense[0] >= len(dense) else [dense]:
+        i = low + int(part[got[part].argmax()])
+        j = i + least
+        if misses is None:
+            misses = np.flatnonzero(~hits)
+        if i and hits[i - 1]:
+            k = int(np.searchsorted(misses, i))
+            i = int(misses[k - 1]) + 1 if k else 0
+        if j < len(hits) and hits[j]:
+            k = int(np.searchsorted(misses, j))
+            j = int(misses[k]) if k < len(misses) else len(hits)
+        if not out or out[-1] != (i, j):
+            out.append((i, j))
+    return out
+
+
+def _alike_share(s: Settings) -> float:
+    """Sets of equal size n that share m have similarity m / (2 n - m)."""
+    return 2 * s.similarity / (1 + s.similarity)
+
+
+def _need(s: Settings) -> float:
+    return _alike_share(s) * 0.9
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each of ``x`` is one of ``y``; quicker than ``isin`` on short arrays."""
+    y = np.sort(y)
+    return y[np.minimum(y.searchsorted(x), len(y) - 1)] == x
+
+
+def _one_way(x: np.ndarray, at: tuple[int, int], y: np.ndarray, by: tuple[int, int], s: Settings) -> bool:
+    for i, j in stretches(_within(x, y), *at, s.least, _need(s)):
+        p = set(x[i:j].tolist())
+        for k, m in stretches(_within(y, x[i:j]), *by, s.least, _need(s)):
+            q = set(y[k:m].tolist())
+            if len(p & q) >= s.similarity * len(p | q):
+                return True
+    return False
+
+
+def alike(x: np.ndarray, at: tuple[int, int], y: np.ndarray, by: tuple[int, int], s: Settings) -> bool:
+    """Whether verified stretches of both lie around their common places, whichever comes first."""
+    return _one_way(x, at, y, by, s) or _one_way(y, by, x, at, s)
+
+
+def _fewest(h: np.ndarray, a: int, e: int, least: int) -> int:
+    """Different shingles of the poorest stretch of the least length around the places."""
+    low, high = max(0, a - least + 1), min(e, len(h) - least)
+    if low > high:
+        return least
+    order = np.argsort(h, kind="stable")
+    again = np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1
+    if not len(again):
+        return least
+    # A shingle is counted where it stands first: from behind its last occurrence on.
+    before, at = order[again - 1], order[again]
+    near = at - before < least
+    change = np.zeros(len(h) + 1, np.int64)
+    np.add.at(change, np.maximum(0, at[near] - least + 1), 1)
+    np.add.at(change, before[near] + 1, -1)
+    return least - int(np.cumsum(change)[low : high + 1].max())
 
 
 _FOUND = "rid long, other long, first long, last long"
+_FOUND_KINDS = {"rid": pa.int64(), "other": pa.int64(), "first": pa.int64(), "last": pa.int64()}
+
+
+def _root(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
+def _shared(codes: np.ndarray, owner: np.ndarray, group: np.ndarray, rids: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether each code stands in another text's item of its group: two texts, or one item of several, hold it."""
+    key = codes
+    if (group != group[0]).any():
+        key = np.unique(group[owner] * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+    least = np.full(int(key.max(initial=-1)) + 1, len(rids))
+    most = np.full(len(least), -1)
+    np.minimum.at(least, key, rids[owner])
+    np.maximum.at(most, key, rids[owner])
+    held = least < most
+    held[key[whole[owner]]] = True
+    return held[key]
+
+
+def _linked(items: list[dict], h: list[np.ndarray], codes: np.ndarray, root: list[int], s: Settings, against: set[int] | None = None) -> list[tuple[int, int]]:
+    """Verified pairs of items that join two parts, until no alike pair is in two; ``root`` is brought up to date."""
+    out: list[tuple[int, int]] = []
+    n = len(items)
+    if len({_root(root, i) for i in range(n)}) < 2:
+        return out
+    if n > 2:
+        member = np.zeros((n, int(codes.max()) + 1), np.float32)
+        member[np.repeat(np.arange(n), [len(x) for x in h]), codes] = 1
+        fewest = np.array([_fewest(x, it["a"], it["e"], s.least) for x, it in zip(h, items)])
+        near = np.tril(member @ member.T >= 0.99 * s.similarity * np.maximum(fewest[:, None], fewest[None, :]), -1)
+        labels = np.array([_root(root, i) for i in range(n)])
+        pairs = np.argwhere(near & (labels[:, None] != labels[None, :])).tolist()
+    else:
+        pairs = [[1, 0]]
+    for i, j in pairs:
+        if against is not None and i not in against and j not in against:
+            continue
+        x, y = items[i], items[j]
+        if _root(root, i) != _root(root, j) and alike(h[i], (x["a"], x["e"]), h[j], (y["a"], y["e"]), s):
+            out.append((i, j))
+            root[_root(root, i)] = _root(root, j)
+    return out
+
 
+def _solved(items: list[dict], s: Settings, kept: bool = False) -> list[tuple]:
+    """Links of a signature's items, and the passages of each: stretches that the items linked with it hold.
 
-def _stretches(hits: np.ndarray, at: int, least: int, need: float) -> tuple[np.ndarray, np.ndarray]:
-    """First and end of each row's ``_stretch``; both 0 where there is none."""
-    k, n = hits.shape
-    total = np.concatenate([np.zeros((k, 1), np.int64), np.cumsum(hits, axis=1)], axis=1)
-    starts = np.arange(max(0, at - least + 1), min(at, n - least) + 1)
-    if not len(starts):
-        return np.zeros(k, np.int64), np.zeros(k, np.int64)
-    got = total[:, starts + least] - total[:, starts]
-    best, rows, places = got.argmax(axis=1), np.arange(k), np.arange(n)
-    i, j = starts[best], starts[best] + least
-    before = np.maximum.accumulate(np.where(hits, -1, places), axis=1) + 1
-    after = np.minimum.accumulate(np.where(hits, n, places)[:, ::-1], axis=1)[:, ::-1]
-    first = np.where(i > 0, before[rows, np.maximum(i - 1, 0)], 0)
-    end = np.where(j < n, after[rows, np.minimum(j, n - 1)], n)
-    dense = got[rows, best] >= need * least
-    return np.where(dense, first, 0), np.where(dense, end, 0)
-
-
-def _links(items: list[dict], s: Settings, against: set[int] | None = None) -> list[tuple[int, int, int, int]]:
-    """Verified links among items: every pair that joins two parts or widens a passage.
-
-    Items of one label are in one part from the start. With ``against``, only
-    pairs with one side in it.
+    ``kept``: items that can't be linked are gone already.
     """
-    out: list[tuple[int, int, int, int]] = []
+    if len(items) < 2:
+        return []
+    h = [np.frombuffer(x["h"], "<u4") for x in items]
+    if len(items) == 2:
+        return _solved_pair(*items, *h, s)
+    if not kept:
+        codes, owner, rids, whole = _columns(items, h)
+        hits = np.split(_shared(codes, owner, np.zeros(len(items), np.int64), rids, whole), np.cumsum([len(x) for x in h])[:-1])
+        live = [i for i, x in enumerate(items) if stretches(hits[i], x["a"], x["e"], s.least, _need(s))]
+        if len(live) < 2:
+            return []
+        items, h = [items[i] for i in live], [h[i] for i in live]
+    codes, owner, rids, whole = _columns(items, h)
     first: dict[int, int] = {}
     root = [first.setdefault(x["label"], i) for i, x in enumerate(items)]
-    if len(first) < 2 and all(x["whole"] for x in items):
+    out: list[tuple] = [(items[i]["rid"], items[j]["rid"], None, None) for i, j in _linked(items, h, codes, root, s)]
+    if whole.all():
         return out
-    h = [np.frombuffer(x["h"], "<u4") for x in items]
-    flat = np.concatenate(h)
-    codes = np.unique(flat, return_inverse=True)[1]
-    member = np.zeros((len(items), int(codes.max()) + 1), np.float32)
-    member[np.repeat(np.arange(len(items)), [len(x) for x in h]), codes] = 1
-    sizes = member.sum(axis=1)
-    shared = member @ member.T
-    near = shared >= s.similarity * np.minimum(s.least, np.minimum(sizes[:, None], sizes[None, :])) * 0.99
-    need = 2 * s.similarity / (1 + s.similarity) * 0.9
-    ends = np.cumsum([0, *(len(x) for x in h)])
-    start, end = np.zeros(near.shape, np.int64), np.zeros(near.shape, np.int64)
-    for i, x in enumerate(items):
-        to = np.flatnonzero(near[i])
-        start[i, to], end[i, to] = _stretches(member[np.ix_(to, codes[ends[i] : ends[i + 1]])] > 0, x["a"], s.least, need)
-    near &= end > 0
-    start, end = start.tolist(), end.tolist()
-    held = [(0, len(y)) if x["whole"] else (len(y), 0) for x, y in zip(items, h)]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def adds(i: int, j: int) -> bool:
-        return end[i][j] > 0 and (start[i][j] < held[i][0] or end[i][j] > held[i][1])
-
-    for i in range(1, len(items)):
-        for j in np.flatnonzero(near[i, :i] | near[:i, i]).tolist():
-            if against is not None and i not in against and j not in against:
-                continue
-            for x, y in ((i, j), (j, i)):
-                if not adds(x, y) and find(x) == find(y):
-                    continue
-                got = alike(h[x], items[x]["a"], h[y], items[y]["a"], s)
-                if got:
-                    for one, (p, q), two in ((x, got[0], y), (y, got[1], x)):
-                        out.append((items[one]["rid"], items[two]["rid"], items[one]["lo"] + p, items[one]["lo"] + q - 1))
-                        held[one] = min(held[one][0], p), max(held[one][1], q)
-                    root[find(x)] = find(y)
+    parts = np.array([_root(root, i) for i in range(len(items))])
+    hits = np.split(_shared(codes, owner, parts, rids, whole), np.cumsum([len(x) for x in h])[:-1])
+    for x, held in zip(items, hits):
+        if not x["whole"]:  # else all of it is a passage already
+            out += _passages(x, held, s)
+    return out
+
+
+def _solved_pair(x: dict, y: dict, h: np.ndarray, g: np.ndarray, s: Settings) -> list[tuple]:
+    """``_solved`` of two items."""
+    if x["rid"] == y["rid"] and not x["whole"] and not y["whole"]:
+        return []
+    one, two = _within(h, g), _within(g, h)
+    for z, hits in ((x, one), (y, two)):
+        if not z["whole"] and not stretches(hits, z["a"], z["e"], s.least, _need(s)):
+            return []
+    out: list[tuple] = []
+    if x["label"] != y["label"]:
+        if not alike(h, (x["a"], x["e"]), g, (y["a"], y["e"]), s):
+            return []
+        out.append((x["rid"], y["rid"], None, None))
+    for z, hits in ((x, one), (y, two)):
+        if not z["whole"]:
+            out += _passages(z, hits, s)
     return out
 
 
-def _found(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    c = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in c], names=["rid", "other", "first", "last"])
+def _columns(items: list[dict], h: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.unique(np.concatenate(h), return_inverse=True)[1]
+    rids = np.unique(np.array([x["rid"] for x in items]), return_inverse=True)[1]
+    return codes, np.repeat(np.arange(len(items)), [len(x) for x in h]), rids, np.array([x["whole"] for x in items])
+
+
+def _passages(x: dict, hits: np.ndarray, s: Settings) -> list[tuple]:
+    """Stretches that the items of x's class hold; those of the lesser share (``other`` null) count in texts without any."""
+    at, lo, rid = (x["a"], x["e"], s.least), x["lo"], x["rid"]
+    firm = [(rid, rid, lo + i, lo + j - 1) for i, j in stretches(hits, *at, _alike_share(s))]
+    return firm or [(rid, None, lo + i, lo + j - 1) for i, j in stretches(hits, *at, _need(s))]
 
 
-def _by_key(s: Settings, key: str):
-    """Links of each run of rows with one key, from rows sorted by it."""
+def _by_signature(s: Settings, kept: bool):
+    """Links and passages of each run of rows with one signature, from rows sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             rows: list[tuple] = []
             for row in batch.to_pylist():
-                if held and held[0][key] != row[key]:
-                    rows += _links(held, s) if len(held) > 1 else []
+                if held and held[0]["sig"] != row["sig"]:
+                    rows += _solved(held, s, kept)
                     held = []
                 held.append(row)
-            yield _found(rows)
-        yield _found(_links(held, s) if len(held) > 1 else [])
+            yield _batch(rows, _FOUND_KINDS)
+        yield _batch(_solved(held, s, kept), _FOUND_KINDS)
 
     return run
 
 
-def _divided(s: Settings):
-    """Items of a large signature under least hashes of further functions around their place."""
-    names = ["sig", "ctx", "rid", "label", "whole", "a", "lo", "h", "sub"]
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per item and different shingle."""
+    for batch in batches:
+        codes = [np.unique(np.frombuffer(x.as_py(), "<u4")).astype(np.int64) for x in batch.column("h")]
+        rows = pa.array(np.repeat(np.arange(len(codes)), [len(x) for x in codes]), pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.drop_columns("h").take(rows).columns, pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], names=["sig", "ctx", "rid", "part", "whole", "code"])
+
+
+def _with_shared(items: DataFrame, part: str) -> DataFrame:
+    """``items`` with the shingles that other texts' items of their signature and part hold, too."""
+    codes = items.select("sig", "ctx", "rid", F.col(part).cast("long").alias("part"), "whole", "h").mapInArrow(_codes, "sig long, ctx long, rid long, part long, whole boolean, code long")
+    codes = materialize(codes, "window-codes")
+    shared = codes.groupBy("sig", "part", "code").agg(F.min("rid").alias("r1"), F.max("rid").alias("r2"), F.bool_or("whole").alias("several")).where("r1 < r2 or several").select("sig", "part", "code")
+    shared = codes.join(shared, ["sig", "part", "code"]).groupBy("sig", "ctx", "rid").agg(F.collect_list("code").alias("shared"))
+    return items.join(shared, ["sig", "ctx", "rid"])
+
+
+def _hits(row: dict) -> np.ndarray:
+    return np.isin(np.frombuffer(row["h"], "<u4"), np.array(row["shared"], np.int64).astype(np.uint32))
+
+
+def _live(s: Settings):
+    """Items with a stretch that some other text could hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                h = np.frombuffer(row["h"], "<u4").astype(np.uint64)
-                subs = set()
-                for f in range(s.hashes, s.hashes + s.further):
-                    g = _under(h, f)
-                    for c, first, last in compact_windows(g, s.least):
-                        if first <= row["a"] <= last:
-                            subs.add(_signed(digest(int(g[c]).to_bytes(8, "little") + row["sig"].to_bytes(8, "little", signed=True), f)))
-                out += [(row["sig"], row["ctx"], row["rid"], row["label"], row["whole"], row["a"], row["lo"], row["h"], sub) for sub in subs]
-            c = list(zip(*out)) if out else [()] * 9
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds)], names=names)
+            keep = [bool(stretches(_hits(x), x["a"], x["e"], s.least, _need(s))) for x in batch.to_pylist()]
+            yield batch.drop_columns("shared").filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _covered(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([p for x in batch.to_pylist() for p in _passages(x, _hits(x), s)], _FOUND_KINDS)
 
     return run
 
 
+_JOINED = "sig long, l1 long, l2 long, rid long, other long"
+_JOINED_KINDS = {"sig": pa.int64(), "l1": pa.int64(), "l2": pa.int64(), "rid": pa.int64(), "other": pa.int64()}
+
+
 def _led(s: Settings):
-    """Each item against its group's leader: a link, and a row with ``other`` null unless that settles it."""
+    """Links of items with their signature's leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for x in batch.to_pylist():
-                if x["whole"] and (x["ctx"] == x["lead"]["ctx"] or x["label"] == x["lead"]["label"] and x["lead"]["whole"]):
-                    continue  # nothing to add
-                got = None if x["ctx"] == x["lead"]["ctx"] else alike(np.frombuffer(x["h"], "<u4"), x["a"], np.frombuffer(x["lead"]["h"], "<u4"), x["lead"]["a"], s)
-                if got is None or not x["whole"] and got[0] != (0, len(x["h"]) // 4):
-                    rows.append((x["sub"], x["ctx"], x["rid"], None, None, None))
-                if got is not None:
-                    for one, (p, q), two in ((x, got[0], x["lead"]), (x["lead"], got[1], x)):
-                        rows.append((x["sub"], x["ctx"], one["rid"], two["rid"], one["lo"] + p, one["lo"] + q - 1))
-            c = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in c], names=["sub", "ctx", "rid", "other", "first", "last"])
+                y = x["lead"]
+                if alike(np.frombuffer(x["h"], "<u4"), (x["a"], x["e"]), np.frombuffer(y["h"], "<u4"), (y["a"], y["e"]), s):
+                    rows.append((x["sig"], x["label"], y["label"], x["rid"], y["rid"]))
+            yield _batch(rows, _JOINED_KINDS)
 
     return run
 
 
 def _blocks(s: Settings):
     def run(table: pa.Table) -> pa.Table:
-        items = sorted(table.to_pylist(), key=lambda x: (x["ctx"], x["rid"]))
+        items = table.to_pylist()
         odd = {i for i, x in enumerate(items) if x["odd"]}
-        return pa.Table.from_batches([_found(_links(items, s, odd) if len(items) > 1 and odd else [])])
+        h = [np.frombuffer(x["h"], "<u4") for x in items]
+        first: dict[int, int] = {}
+        root = [first.setdefault(x["label"], i) for i, x in enumerate(items)]
+        got = _linked(items, h, _columns(items, h)[0], root, s, odd) if len(items) > 1 and odd else []
+        return pa.Table.from_batches([_batch([(items[i]["sig"], items[i]["label"], items[j]["label"], items[i]["rid"], items[j]["rid"]) for i, j in got], _JOINED_KINDS)])
 
     return run
 
 
 def _resolved(items: DataFrame, s: Settings) -> DataFrame:
-    """Verified links of items by signature."""
+    """Verified links and passages of items by signature; ``group`` decides who compares, not what is found."""
     sizes = items.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > s.group).select("sig")
     large = materialize(sizes, "large-signatures")
-    done = items.join(large, "sig", "left_anti").repartition("sig").sortWithinPartitions("sig", "ctx").mapInArrow(_by_key(s, "sig"), _FOUND)
+    done = items.join(large, "sig", "left_anti").repartition("sig").sortWithinPartitions("sig").mapInArrow(_by_signature(s, False), _FOUND)
     if large.isEmpty():
         return done
-    subs = items.join(large, "sig", "left_semi").mapInArrow(_divided(s), "sig long, ctx long, rid long, label long, whole boolean, a long, lo long, h binary, sub long")
-    subs = materialize(subs, "divided-signatures")
-    counts = subs.groupBy("sub").agg(F.count("*").alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.every("whole").alias("settled"), F.min(F.struct("ctx", "rid", "label", "whole", "a", "lo", "h")).alias("lead")).where("n > 1 and (l1 < l2 or not settled)").drop("l1", "l2", "settled")
-    counts = materialize(counts, "divided-counts")
-    small = subs.join(counts.where(F.col("n") <= s.group).select("sub"), "sub", "left_semi").repartition("sub").sortWithinPartitions("sub", "ctx")
-    done = done.union(small.mapInArrow(_by_key(s, "sub"), _FOUND))
-    hot = subs.join(counts.where(F.col("n") > s.group), "sub")
-    led = materialize(hot.select("sub", "ctx", "rid", "label", "whole", "a", "lo", "h", "lead").mapInArrow(_led(s), "sub long, ctx long, rid long, other long, first long, last long"), "led")
-    odd = led.where("other is null").select("sub", "ctx", F.lit(True).alias("odd")).distinct()
-    parts = odd.groupBy("sub").agg(F.ceil(F.count("*") / s.group).cast("int").alias("parts"))
-    rest = hot.select("sub", "ctx", "rid", "label", "whole", "a", "lo", "h").join(parts, "sub").join(odd, ["sub", "ctx"], "left")
-    own = F.pmod(F.xxhash64("ctx"), F.col("parts")).cast("int")
-    cut = F.ceil(F.col("n") / s.group).cast("int")
-    # Every block of odd items meets every block of all items.
-    rest = rest.join(counts.select("sub", "n"), "sub").withColumn("bj", F.pmod(F.xxhash64("rid", "ctx"), cut).cast("int"))
-    mine = rest.where("odd").withColumn("bi", own).withColumn("bj", F.explode(F.sequence(F.lit(0), cut - 1)))
-    other = rest.where("odd is null").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    odd_pairs = rest.where("odd").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("bj", F.lit(-1) - own)
-    odd_self = rest.where("odd").withColumn("bi", own).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("bj", F.lit(-1) - F.col("bj"))
-    keep = ["sub", "bi", "bj", "ctx", "rid", "label", "whole", "a", "lo", "h", "odd"]
-    met = mine.select(*keep).union(other.select(*keep)).union(odd_pairs.select(*keep)).union(odd_self.select(*keep)).distinct()
-    return done.union(led.where("other is not null").select("rid", "other", "first", "last")).union(met.groupBy("sub", "bi", "bj").applyInArrow(_blocks(s), _FOUND))
+    live = _with_shared(items.join(large, "sig", "left_semi").withColumn("part", F.lit(0)), "part").drop("part")
+    live = materialize(live.select(*_KINDS, "shared").mapInArrow(_live(s), _ITEM), "live-items")
+    lead = F.min(F.struct("ctx", "rid", "label", "a", "e", "h")).alias("lead")
+    sizes = materialize(live.groupBy("sig").agg(F.count("*").alias("n"), lead), "live-signatures")
+    few = live.join(sizes.where(F.col("n") <= s.group).select("sig"), "sig", "left_semi").repartition("sig").sortWithinPartitions("sig")
+    done = done.union(few.select(*_KINDS).mapInArrow(_by_signature(s, True), _FOUND))
+    hot = live.join(sizes.where(F.col("n") > s.group), "sig")
+    led = materialize(hot.where("label <> lead.label").select(*_KINDS, "lead").mapInArrow(_led(s), _JOINED), "led")
+    with_lead = led.select("sig", F.col("l1").alias("label"), F.col("l2").alias("joined")).distinct()
+    hot = hot.join(with_lead, ["sig", "label"], "left").withColumn("label", F.coalesce("joined", "label"))
+    hot = hot.withColumn("odd", F.col("label") != F.col("lead.label")).select(*_KINDS, "n", "odd")
+    hot = materialize(hot, "hot-items")
+    # Items not of the leader's class meet all, in blocks of bounded size.
+    odd = hot.where("odd").groupBy("sig").agg(F.ceil(F.count("*") / s.group).cast("int").alias("parts"))
+    rest = hot.join(odd, "sig")
+    mine, all_ = F.pmod(F.xxhash64("ctx", "rid"), F.col("parts")).cast("int"), F.ceil(F.col("n") / s.group).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    at = F.pmod(F.xxhash64("rid", "ctx"), all_).cast("int")
+    keep = [*_KINDS, "odd", "bi", "bj"]
+    met = rest.where("odd").withColumn("bi", mine).withColumn("bj", upto(all_)).select(*keep)
+    met = met.union(rest.withColumn("bj", at).withColumn("bi", upto(F.col("parts"))).select(*keep)).dropDuplicates(["sig", "ctx", "rid", "bi", "bj"])
+    joined = materialize(met.groupBy("sig", "bi", "bj").applyInArrow(_blocks(s), _JOINED), "joined-items")
+    node = lambda label: F.xxhash64("sig", label)
+    parts = connected(joined.select(node("l1").alias("a"), node("l2").alias("b")))
+    hot = hot.join(parts, node("label") == F.col("node"), "left").withColumn("part", F.coalesce("component", node("label")))
+    spans = _with_shared(hot.select(*_KINDS, "part"), "part").where("not whole").select(*_KINDS, "shared").mapInArrow(_covered(s), _FOUND)
+    none = F.lit(None).cast("long")
+    return done.union(led.union(joined).select("rid", "other", none.alias("first"), none.alias("last"))).union(spans)
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -389,35 +534,37 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = settings
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), text_bytes(text_col).alias("data"))
     long_enough = rows.where(F.octet_length("data") >= 2 * s.min_words - 1)
-    cut = materialize(long_enough.select("rid", "data").mapInArrow(_cut(s), "rid long, sig long, ctx long, c long, lo long, hi long"), "windows")
+    cut = materialize(long_enough.select("rid", "data").mapInArrow(_cut(s), "rid long, sig long, ctx long, c long, e long, lo long, hi long"), "windows")
     keys = cut.groupBy("sig").agg(F.min("rid").alias("r1"), F.max("rid").alias("r2"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).where("r1 < r2")
     keys = materialize(keys.select("sig", F.col("r1").alias("leader"), (F.col("c1") == F.col("c2")).alias("equal")), "window-keys")
     met = materialize(cut.join(keys, "sig"), "met-windows")
     discard(cut, keys)
     span = [F.col("lo").alias("first"), F.col("hi").alias("last")]
     whole = met.where("equal").select("rid", F.col("leader").alias("other"), *span)
-    reps = met.where("not equal").groupBy("sig", "ctx").agg(F.min(F.struct("rid", "c", "lo", "hi")).alias("x"), F.max("rid").alias("r2"))
+    reps = met.where("not equal").groupBy("sig", "ctx").agg(F.min(F.struct("rid", "c", "e", "lo", "hi")).alias("x"), F.max("rid").alias("r2"))
     held = reps = materialize(reps.select("sig", "ctx", "x.*", (F.col("x.rid") < F.col("r2")).alias("many")), "window-items")
     same = met.where("not equal").select("sig", "ctx", "rid", *span).join(reps.where("many").select("sig", "ctx", F.col("rid").alias("other")), ["sig", "ctx"]).select("rid", "other", "first", "last")
     # Items whose window is a passage as a whole, all of one part, need no text; all others go on.
     plain = materialize(whole.union(same).distinct(), "equal-passages")
     discard(met)
     parts = connected(plain.where("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")))
-    reps = reps.join(parts, F.col("rid") == F.col("node"), "left").select("sig", "ctx", "rid", "c", "lo", "hi", F.col("many").alias("whole"), F.coalesce("component", "rid").alias("label"))
+    reps = reps.join(parts, F.col("rid") == F.col("node"), "left").select("sig", "ctx", "rid", "c", "e", "lo", "hi", F.col("many").alias("whole"), F.coalesce("component", "rid").alias("label"))
     reps = materialize(reps, "labelled-items")
     discard(held)
     split = materialize(reps.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.every("whole").alias("settled")).where("l1 < l2 or not settled").select("sig"), "split-signatures")
     labelled, reps = reps, reps.join(split, "sig", "left_semi")
-    wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("sig", "ctx", "label", "whole", "c", "lo", "hi")).alias("want"))
-    texts = _packed(long_enough, ["rid"])
-    items = texts.join(wanted, "rid").select("rid", "packed", "want").mapInArrow(_fetch(s.width), "sig long, ctx long, rid long, label long, whole boolean, a long, lo long, h binary")
-    items = materialize(items.dropDuplicates(["sig", "ctx", "rid"]), "items")
+    wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("sig", "ctx", "label", "whole", "c", "e", "lo", "hi")).alias("want"))
+    texts = _packed(long_enough, ["rid"]).dropDuplicates(["rid"])
+    items = texts.join(wanted, "rid").select("rid", "packed", "want").mapInArrow(_fetch(s.width), _ITEM)
+    items = materialize(items, "items")
     discard(labelled, split)
     spanned = materialize(plain.union(_resolved(items, s)).distinct(), "passages")
     discard(items, plain)
     found = spanned.where("rid <> other")
     classes = connected(found.select(F.col("rid").alias("a"), F.col("other").alias("b")))
-    spans = spanned.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    span = F.struct("first", "last")
+    spans = spanned.where("first is not null").groupBy("rid").agg(F.collect_set(F.when(F.col("other").isNotNull(), span)).alias("firm"), F.collect_set(F.when(F.col("other").isNull(), span)).alias("loose"))
+    spans = spans.select("rid", F.when(F.size("firm") > 0, F.col("firm")).otherwise(F.col("loose")).alias("spans"))
     ids = rows.select("__id", "rid").distinct()
     named = ids.join(classes, F.col("rid") == F.col("node")).select("__id", "rid", "component")
     least = named.groupBy("component").agg(F.min("__id").alias("component_id"))

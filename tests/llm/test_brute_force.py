@@ -319,6 +319,32 @@ def test_edited_passages_against_brute_force(spark, group):
     assert found >= {k for k in range(90) if k % 3 == 0}
 
 
+def test_a_repeated_line_is_one_window():
+    """Places of one shingle that come again within a window are one item, whatever their number."""
+    line, edge = np.arange(100, 106, dtype=np.uint64), np.arange(1000, 1060, dtype=np.uint64)
+    h = np.concatenate([edge, np.tile(line, 200), edge + np.uint64(500)])
+    got = [x for x in compact_windows._runs(h, 46) if x[0] == 100]
+    assert got == [(100, 60, 60 + 6 * 199, 15, 60 + 6 * 199 + 45)]
+
+
+def test_passages_do_not_depend_on_the_size_of_groups(spark):
+    """A hot passage with edits, a hot phrase and a repeated line, in one group and in many small ones."""
+    rnd = random.Random(3)
+    some = lambda n: [f"w{rnd.randrange(100_000)}" for _ in range(n)]
+    passage, phrase, line = some(58), some(8), some(6)
+    texts = [[*some(40), *phrase, *some(45)] for _ in range(8)]
+    texts += [[*some(30), *line * rnd.randint(12, 30), *some(30)] for _ in range(8)]
+    for _ in range(24):
+        edited = list(passage)
+        for place in rnd.sample(range(58), rnd.randint(0, 4)):
+            edited[place] = some(1)[0]
+        texts.append([*some(30), *edited, *some(30)])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, compact_windows.shared_passages(df, settings=compact_windows.Settings(group=g)).collect())) for g in (200, 3))
+    assert one == many
+    assert {x[1] for x in one if x[0] in range(8, 16)} == {8} and not any(x[0] < 8 for x in one)
+
+
 # ------------------------------------------------------------------------- 5
 
 
