@@ -112,9 +112,14 @@ def compact_windows(h: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
 
     Of equal hashes the first counts as the least.
     """
+    yield from zip(*(x.tolist() for x in _nodes(h, least)))
+
+
+def _nodes(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of ``compact_windows``."""
     n = len(h)
     if n < least:
-        return
+        return (np.zeros(0, np.int64),) * 3
     rows = np.concatenate([h, np.full(-n % least, h[-1], h.dtype)]).reshape(-1, least)
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -125,7 +130,7 @@ def compact_windows(h: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
     before = np.maximum.accumulate(rows, axis=1).ravel()
     after = np.maximum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     places = np.flatnonzero(np.maximum(after[:n], before[least - 1 : least - 1 + n]) == h)
-    values = h[places].tolist()
+    chosen, values = places, h[places].tolist()
     places = places.tolist()
     stack: list[int] = []
     first = [0] * len(places)
@@ -135,9 +140,9 @@ def compact_windows(h: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
             last[stack.pop()] = places[k] - 1
         first[k] = places[stack[-1]] + 1 if stack else 0
         stack.append(k)
-    for k, place in enumerate(places):
-        if last[k] - first[k] + 1 >= least:
-            yield place, first[k], last[k]
+    starts, ends = np.array(first, np.int64), np.array(last, np.int64)
+    wide = ends - starts + 1 >= least
+    return chosen[wide], starts[wide], ends[wide]
 
 
 def _signed(x: int) -> int:
@@ -151,37 +156,37 @@ def _cut(s: Settings):
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                out: list[tuple] = []
+                out: list[tuple[np.ndarray, ...]] = []
                 for rid, text in zip(batch.column(0)[k : k + 512].to_pylist(), batch.column(1)[k : k + 512]):
                     h = shingle_hashes(text.as_py(), s.width)
                     raw = h.tobytes()
                     for f in range(s.hashes):
-                        g = _under(h, f)
-                        for sig, c, e, lo, hi in _runs(g, s.least):
-                            out.append((rid, _signed(sig), _signed(digest(raw[8 * lo : 8 * hi + 8], (c - lo) + (e - c << 20))), c, e, lo, hi))
-                c = list(zip(*out)) if out else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in c], names=names)
+                        sig, c, e, lo, hi = _runs(_under(h, f), s.least)
+                        ahead = (c - lo) + (e - c << 20)
+                        ctx = [digest(raw[i:j], k) for i, j, k in zip((8 * lo).tolist(), (8 * hi + 8).tolist(), ahead.tolist())]
+                        out.append((np.full(len(c), rid), sig.view(np.int64), np.array(ctx, np.uint64).view(np.int64), c, e, lo, hi))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
 
     return run
 
 
-def _runs(g: np.ndarray, least: int) -> list[tuple[int, int, int, int, int]]:
-    """``(hash, first place, last place, first, last)``: cut windows, those of one hash and near places as one."""
-    out: list[tuple[int, int, int, int, int]] = []
-    latest: dict[int, int] = {}
-    windows = list(compact_windows(g, least))
-    if not windows:
-        return out
-    c, first, last = np.array(windows).T
-    lows, highs = np.maximum(first, c - least + 1), np.minimum(last, c + least - 1)
-    for sig, c, lo, hi in zip(g[c].tolist(), c.tolist(), lows.tolist(), highs.tolist()):
-        k = latest.get(sig)
-        if k is not None and c - out[k][2] <= least and lo <= out[k][4] + 1:
-            out[k] = (sig, out[k][1], c, out[k][3], max(hi, out[k][4]))
+def _runs(g: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Hash, first place, last place, first and last of cut windows, those of one hash and near places as one."""
+    c, first, last = _nodes(g, least)
+    sig, lows, highs = g[c], np.maximum(first, c - least + 1), np.minimum(last, c + least - 1)
+    if len(np.unique(sig)) == len(sig):
+        return sig, c, c, lows, highs
+    out: list[list[int]] = []
+    latest: dict[int, list[int]] = {}
+    for key, at, lo, hi in zip(sig.tolist(), c.tolist(), lows.tolist(), highs.tolist()):
+        x = latest.get(key)
+        if x is not None and at - x[2] <= least and lo <= x[4] + 1:
+            x[2], x[4] = at, max(hi, x[4])
             continue
-        latest[sig] = len(out)
-        out.append((sig, c, c, lo, hi))
-    return out
+        x = latest[key] = [key, at, at, lo, hi]
+        out.append(x)
+    keys, *rest = zip(*out)
+    return np.array(keys, np.uint64), *(np.array(x, np.int64) for x in rest)
 
 
 _KINDS = {"sig": pa.int64(), "ctx": pa.int64(), "rid": pa.int64(), "label": pa.int64(), "whole": pa.bool_(), "a": pa.int64(), "e": pa.int64(), "lo": pa.int64(), "h": pa.binary()}
@@ -319,8 +324,11 @@ def _linked(items: list[dict], h: list[np.ndarray], codes: np.ndarray, root: lis
     if len({_root(root, i) for i in range(n)}) < 2:
         return out
     if n > 2:
-        member = np.zeros((n, int(codes.max()) + 1), np.float32)
-        member[np.repeat(np.arange(n), [len(x) for x in h]), codes] = 1
+        # A shingle of one place alone is shared by nobody.
+        often = np.bincount(codes) > 1
+        held = often[codes]
+        member = np.zeros((n, int(often.sum())), np.float32)
+        member[np.repeat(np.arange(n), [len(x) for x in h])[held], (np.cumsum(often) - 1)[codes[held]]] = 1
         fewest = np.array([_fewest(x, it["a"], it["e"], s.least) for x, it in zip(h, items)])
         near = np.tril(member @ member.T >= 0.99 * s.similarity * np.maximum(fewest[:, None], fewest[None, :]), -1)
         labels = np.array([_root(root, i) for i in range(n)])
