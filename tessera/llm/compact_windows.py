@@ -28,7 +28,8 @@ pair can have counts in texts without other passages. So neither the order of th
 items nor who compares them changes a result.
 
 A signature with ``group`` items or less is solved in one task. Of a larger one,
-shingles are counted in a shuffle, items that are left are compared with one of
+shingles that a block of ``block`` items holds twice are settled in it, those left
+of several blocks are counted in a shuffle; items that are left are compared with one of
 them as leader, and those not of its class with all, in blocks. So no task gathers
 an unbounded group, and no pair is passed over.
 
@@ -66,6 +67,8 @@ class Settings:
     similarity: float = 0.8
     hashes: int = 2
     group: int = 200
+    #: Items of one signature whose shingles are compared in one task.
+    block: int = 4000
 
     @property
     def least(self) -> int:
@@ -73,25 +76,12 @@ class Settings:
         return self.min_words - self.width + 1
 
 
-class _Hashes(dict):
-    """Hashes of words seen before, in a bounded table."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-_known = _Hashes()
-
-
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
     """64-bit hashes of word shingles, from hashes of the words."""
     words = data.lower().split()
     if len(words) < width:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = len(h) - width + 1
     out = np.zeros(n, np.uint64)
     for k in range(width):
@@ -115,67 +105,116 @@ def compact_windows(h: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
     yield from zip(*(x.tolist() for x in _nodes(h, least)))
 
 
-def _nodes(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns of ``compact_windows``."""
+def _nodes(h: np.ndarray, least: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of ``compact_windows``; ``h`` may hold several texts of ``sizes`` places, one after another."""
     n = len(h)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
+    starts = np.zeros(1, np.int64) if sizes is None else np.cumsum(sizes) - sizes
     rows = np.concatenate([h, np.full(-n % least, h[-1], h.dtype)]).reshape(-1, least)
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     low = np.minimum(after[: n - least + 1], before[least - 1 : n])
+    if len(starts) > 1:  # a window lies in one text
+        across = np.repeat(starts[1:] - least + 1, least - 1) + np.tile(np.arange(least - 1), len(starts) - 1)
+        low[across[(across >= 0) & (across < len(low))]] = 0
     edge = np.zeros(least - 1, h.dtype)
     top = np.concatenate([edge, low, edge])
     rows = np.concatenate([top, np.zeros(-len(top) % least, h.dtype)]).reshape(-1, least)
     before = np.maximum.accumulate(rows, axis=1).ravel()
     after = np.maximum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    places = np.flatnonzero(np.maximum(after[:n], before[least - 1 : least - 1 + n]) == h)
-    chosen, values = places, h[places].tolist()
-    places = places.tolist()
+    chosen = np.flatnonzero(np.maximum(after[:n], before[least - 1 : least - 1 + n]) == h)
+    # The place ahead of each text stands there as less than all others.
+    at = np.searchsorted(chosen, starts)
+    values, places = np.insert(h[chosen], at, 0).tolist(), np.insert(chosen, at, starts - 1).tolist()
+    walls = set((at + np.arange(len(starts))).tolist())
     stack: list[int] = []
     first = [0] * len(places)
     last = [n - 1] * len(places)
     for k, value in enumerate(values):
-        while stack and values[stack[-1]] > value:
+        if k in walls:
+            for i in stack:
+                last[i] = places[k]
+            stack = [k]
+            continue
+        while len(stack) > 1 and values[stack[-1]] > value:
             last[stack.pop()] = places[k] - 1
-        first[k] = places[stack[-1]] + 1 if stack else 0
+        first[k] = places[stack[-1]] + 1
         stack.append(k)
-    starts, ends = np.array(first, np.int64), np.array(last, np.int64)
-    wide = ends - starts + 1 >= least
-    return chosen[wide], starts[wide], ends[wide]
+    inner = np.ones(len(places), bool)
+    inner[list(walls)] = False
+    firsts, lasts = np.array(first, np.int64)[inner], np.array(last, np.int64)[inner]
+    wide = lasts - firsts + 1 >= least
+    return chosen[wide], firsts[wide], lasts[wide]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Places whose windows are cut in one pass over several texts.
+_PLACES = 1 << 15
+
+
 def _cut(s: Settings):
     names = ["rid", "sig", "ctx", "c", "e", "lo", "hi"]
 
+    def windows(rids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        digest, out = xxhash.xxh64_intdigest, []
+        whole, sizes = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.array([len(h) for h in hashes], np.int64)
+        raw, starts, rid = whole.tobytes(), np.cumsum(sizes) - sizes, np.array(rids, np.int64)
+        for f in range(s.hashes):
+            text, sig, c, e, lo, hi = _windows(_under(whole, f), s.least, sizes)
+            ahead = (c - lo) + (e - c << 20)
+            ctx = [digest(raw[i:j], k) for i, j, k in zip((8 * lo).tolist(), (8 * hi + 8).tolist(), ahead.tolist())]
+            at = starts[text]
+            out.append((rid[text], sig.view(np.int64), np.array(ctx, np.uint64).view(np.int64), c - at, e - at, lo - at, hi - at))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
+        rids: list[int] = []
+        hashes: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                out: list[tuple[np.ndarray, ...]] = []
-                for rid, text in zip(batch.column(0)[k : k + 512].to_pylist(), batch.column(1)[k : k + 512]):
-                    h = shingle_hashes(text.as_py(), s.width)
-                    raw = h.tobytes()
-                    for f in range(s.hashes):
-                        sig, c, e, lo, hi = _runs(_under(h, f), s.least)
-                        ahead = (c - lo) + (e - c << 20)
-                        ctx = [digest(raw[i:j], k) for i, j, k in zip((8 * lo).tolist(), (8 * hi + 8).tolist(), ahead.tolist())]
-                        out.append((np.full(len(c), rid), sig.view(np.int64), np.array(ctx, np.uint64).view(np.int64), c, e, lo, hi))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingle_hashes(text.as_py(), s.width)
+                if len(h) < s.least:
+                    continue
+                rids.append(rid)
+                hashes.append(h)
+                held += len(h)
+                if held > _PLACES:
+                    yield windows(rids, hashes)
+                    rids, hashes, held = [], [], 0
+        yield windows(rids, hashes)
 
     return run
 
 
+def _windows(g: np.ndarray, least: int, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text and columns of ``_runs`` for several texts, one after another."""
+    c, first, last = _nodes(g, least, sizes)
+    text = np.searchsorted(np.cumsum(sizes), c, side="right")
+    sig, lows, highs = g[c], np.maximum(first, c - least + 1), np.minimum(last, c + least - 1)
+    order = np.lexsort((sig, text))
+    again = (sig[order[1:]] == sig[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    if not again.any():
+        return text, sig, c, c, lows, highs
+    mixed = np.zeros(len(sizes), bool)
+    mixed[text[order[1:]][again]] = True
+    mixed = mixed[text]
+    made = [(t, *x) for t in np.unique(text[mixed]).tolist() for x in _as_one(*(y[text == t] for y in (sig, c, lows, highs)), least)]
+    alone = (text, sig, c, c, lows, highs)
+    return tuple(np.concatenate([x[~mixed], np.array(y, x.dtype)]) for x, y in zip(alone, zip(*made)))
+
+
 def _runs(g: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Hash, first place, last place, first and last of cut windows, those of one hash and near places as one."""
-    c, first, last = _nodes(g, least)
-    sig, lows, highs = g[c], np.maximum(first, c - least + 1), np.minimum(last, c + least - 1)
-    if len(np.unique(sig)) == len(sig):
-        return sig, c, c, lows, highs
+    return _windows(g, least, np.array([len(g)], np.int64))[1:]
+
+
+def _as_one(sig: np.ndarray, c: np.ndarray, lows: np.ndarray, highs: np.ndarray, least: int) -> list[list[int]]:
+    """Windows of one text, those of one hash and near places as one."""
     out: list[list[int]] = []
     latest: dict[int, list[int]] = {}
     for key, at, lo, hi in zip(sig.tolist(), c.tolist(), lows.tolist(), highs.tolist()):
@@ -185,8 +224,7 @@ def _runs(g: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
             continue
         x = latest[key] = [key, at, at, lo, hi]
         out.append(x)
-    keys, *rest = zip(*out)
-    return np.array(keys, np.uint64), *(np.array(x, np.int64) for x in rest)
+    return out
 
 
 _KINDS = {"sig": pa.int64(), "ctx": pa.int64(), "rid": pa.int64(), "label": pa.int64(), "whole": pa.bool_(), "a": pa.int64(), "e": pa.int64(), "lo": pa.int64(), "h": pa.binary()}
@@ -426,25 +464,75 @@ def _by_signature(s: Settings, kept: bool):
     return run
 
 
+_MARKED = _ITEM + ", part long, hits binary"
+
+
+def _block_hits(items: list[dict]) -> list[tuple[dict, np.ndarray]]:
+    h = [np.frombuffer(x["h"], "<u4") for x in items]
+    codes, owner, rids, whole = _columns(items, h)
+    return list(zip(items, np.split(_shared(codes, owner, np.zeros(len(items), np.int64), rids, whole), np.cumsum([len(x) for x in h])[:-1])))
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with a mark at each shingle that another text's item of their block holds, too, from rows sorted by block."""
+    kinds = _KINDS | {"part": pa.int64(), "hits": pa.binary()}
+    held: list[dict] = []
+    block = lambda x: (x["sig"], x["part"], x["block"])
+
+    def rows(items: list[dict]) -> list[tuple]:
+        return [(*(x[k] for k in _KINDS), x["part"], hits.tobytes()) for x, hits in _block_hits(items)] if items else []
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in batch.to_pylist():
+            if held and block(held[0]) != block(row):
+                out += rows(held)
+                held = []
+            held.append(row)
+        yield _batch(out, kinds)
+    yield _batch(rows(held), kinds)
+
+
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per item and different shingle."""
     for batch in batches:
         codes = [np.unique(np.frombuffer(x.as_py(), "<u4")).astype(np.int64) for x in batch.column("h")]
         rows = pa.array(np.repeat(np.arange(len(codes)), [len(x) for x in codes]), pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.drop_columns("h").take(rows).columns, pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], names=["sig", "ctx", "rid", "part", "whole", "code"])
+        yield pa.RecordBatch.from_arrays([*batch.drop_columns("h").take(rows).columns, pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], names=["sig", "rid", "part", "whole", "code"])
+
+
+def _unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per item and different shingle that only it holds in its block."""
+    for batch in batches:
+        codes = [np.unique(np.frombuffer(h.as_py(), "<u4")[~np.frombuffer(m.as_py(), bool)]).astype(np.int64) for h, m in zip(batch.column("h"), batch.column("hits"))]
+        rows = pa.array(np.repeat(np.arange(len(codes)), [len(x) for x in codes]), pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.drop_columns(["h", "hits"]).take(rows).columns, pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], names=["sig", "ctx", "rid", "part", "code"])
 
 
-def _with_shared(items: DataFrame, part: str) -> DataFrame:
-    """``items`` with the shingles that other texts' items of their signature and part hold, too."""
-    codes = items.select("sig", "ctx", "rid", F.col(part).cast("long").alias("part"), "whole", "h").mapInArrow(_codes, "sig long, ctx long, rid long, part long, whole boolean, code long")
-    codes = materialize(codes, "window-codes")
-    shared = codes.groupBy("sig", "part", "code").agg(F.min("rid").alias("r1"), F.max("rid").alias("r2"), F.bool_or("whole").alias("several")).where("r1 < r2 or several").select("sig", "part", "code")
-    shared = codes.join(shared, ["sig", "part", "code"]).groupBy("sig", "ctx", "rid").agg(F.collect_list("code").alias("shared"))
-    return items.join(shared, ["sig", "ctx", "rid"])
+def _with_shared(items: DataFrame, block: int) -> DataFrame:
+    """``items``, with a mark at each shingle that other texts' items of their signature and part hold, too.
+
+    Blocks of bounded size settle what they hold twice themselves; of signatures
+    of several blocks only what is left is looked up in the counts of all.
+    """
+    sizes = materialize(items.groupBy("sig", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "window-blocks")
+    dealt = items.join(sizes, ["sig", "part"]).withColumn("block", F.pmod(F.xxhash64("ctx", "rid"), F.col("blocks")).cast("int"))
+    keys = ["sig", "part", "block"]
+    marked = materialize(dealt.select(*_KINDS, "part", "block").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_marked, _MARKED), "marked-items")
+    several = sizes.where("blocks > 1").select("sig", "part")
+    if several.isEmpty():
+        return marked.withColumn("shared", F.lit(None).cast("array<bigint>"))
+    apart = materialize(marked.join(several, ["sig", "part"], "left_semi"), "items-of-blocks")
+    codes = apart.select("sig", "rid", "part", "whole", "h").mapInArrow(_codes, "sig long, rid long, part long, whole boolean, code long")
+    held = codes.groupBy("sig", "part", "code").agg(F.min("rid").alias("r1"), F.max("rid").alias("r2"), F.bool_or("whole").alias("several")).where("r1 < r2 or several").select("sig", "part", "code")
+    rest = apart.select("sig", "ctx", "rid", "part", "h", "hits").mapInArrow(_unmarked, "sig long, ctx long, rid long, part long, code long")
+    shared = rest.join(held, ["sig", "part", "code"]).groupBy("sig", "ctx", "rid").agg(F.collect_list("code").alias("shared"))
+    return marked.join(shared, ["sig", "ctx", "rid"], "left")
 
 
 def _hits(row: dict) -> np.ndarray:
-    return np.isin(np.frombuffer(row["h"], "<u4"), np.array(row["shared"], np.int64).astype(np.uint32))
+    hits = np.frombuffer(row["hits"], bool)
+    return hits | np.isin(np.frombuffer(row["h"], "<u4"), np.array(row["shared"], np.int64).astype(np.uint32)) if row["shared"] else hits
 
 
 def _live(s: Settings):
@@ -453,7 +541,7 @@ def _live(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [bool(stretches(_hits(x), x["a"], x["e"], s.least, _need(s))) for x in batch.to_pylist()]
-            yield batch.drop_columns("shared").filter(pa.array(keep, pa.bool_()))
+            yield batch.drop_columns(["hits", "shared"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -505,8 +593,8 @@ def _resolved(items: DataFrame, s: Settings) -> DataFrame:
     done = items.join(large, "sig", "left_anti").repartition("sig").sortWithinPartitions("sig").mapInArrow(_by_signature(s, False), _FOUND)
     if large.isEmpty():
         return done
-    live = _with_shared(items.join(large, "sig", "left_semi").withColumn("part", F.lit(0)), "part").drop("part")
-    live = materialize(live.select(*_KINDS, "shared").mapInArrow(_live(s), _ITEM), "live-items")
+    live = _with_shared(items.join(large, "sig", "left_semi").withColumn("part", F.lit(0).cast("long")), s.block)
+    live = materialize(live.select(*_KINDS, "hits", "shared").mapInArrow(_live(s), _ITEM), "live-items")
     lead = F.min(F.struct("ctx", "rid", "label", "a", "e", "h")).alias("lead")
     sizes = materialize(live.groupBy("sig").agg(F.count("*").alias("n"), lead), "live-signatures")
     few = live.join(sizes.where(F.col("n") <= s.group).select("sig"), "sig", "left_semi").repartition("sig").sortWithinPartitions("sig")
@@ -530,7 +618,7 @@ def _resolved(items: DataFrame, s: Settings) -> DataFrame:
     node = lambda label: F.xxhash64("sig", label)
     parts = connected(joined.select(node("l1").alias("a"), node("l2").alias("b")))
     hot = hot.join(parts, node("label") == F.col("node"), "left").withColumn("part", F.coalesce("component", node("label")))
-    spans = _with_shared(hot.select(*_KINDS, "part"), "part").where("not whole").select(*_KINDS, "shared").mapInArrow(_covered(s), _FOUND)
+    spans = _with_shared(hot.select(*_KINDS, "part"), s.block).where("not whole").select(*_KINDS, "hits", "shared").mapInArrow(_covered(s), _FOUND)
     none = F.lit(None).cast("long")
     return done.union(led.union(joined).select("rid", "other", none.alias("first"), none.alias("last"))).union(spans)
 

@@ -345,6 +345,45 @@ def test_passages_do_not_depend_on_the_size_of_groups(spark):
     assert {x[1] for x in one if x[0] in range(8, 16)} == {8} and not any(x[0] < 8 for x in one)
 
 
+def test_windows_of_several_texts_are_cut_at_once():
+    """Texts one after another have the windows that each has alone, repeated shingles and short texts included."""
+    rng = np.random.default_rng(1)
+    for least in (1, 4, 7):
+        texts = [rng.integers(1, 12 if k % 2 else 1 << 60, int(rng.integers(0, 60))).astype(np.uint64) for k in range(40)]
+        want = [(k, *x) for k, h in enumerate(texts) for x in zip(*(x.tolist() for x in compact_windows._runs(h, least)))]
+        starts = np.cumsum([0, *map(len, texts)])
+        sizes = np.array([len(h) for h in texts])
+        text, sig, *places = compact_windows._windows(np.concatenate(texts), least, sizes)
+        got = list(zip(text.tolist(), sig.tolist(), *((x - starts[text]).tolist() for x in places)))
+        assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [4000, 5])
+def test_shingles_that_others_hold(spark, block):
+    """Marks against loops; a join makes rows only for shingles that a block doesn't settle itself."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        h = [rnd.randrange(40) if k % 3 else 1000 + rnd.randrange(400) for k in range(12)]
+        rows.append((i % 2, i, i // 2 * 7 % 25, 0, i == 7, 0, 0, 0, bytearray(np.array(h, "<u4").tobytes()), 0))
+    items = spark.createDataFrame(rows, compact_windows._ITEM + ", part long")
+    got = compact_windows._with_shared(items, block)
+    for r in (x.asDict() for x in got.collect()):
+        h = np.frombuffer(rows[r["ctx"]][8], "<u4").tolist()
+        others = [x for x in rows if x[0] == r["sig"]]
+        holders = [[x for x in others if c in np.frombuffer(x[8], "<u4")] for c in h]
+        want = [len({x[2] for x in some}) > 1 or any(x[4] for x in some) for some in holders]
+        assert compact_windows._hits(r).tolist() == want
+    assert got.count() == 60
+    assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (block == 5)
+
+
+@pytest.mark.parametrize("block", [4000, 4])
+def test_passages_do_not_depend_on_the_size_of_blocks(spark, odd_docs, block):
+    got = {r["doc_id"]: r["component_id"] for r in compact_windows.shared_passages(odd_docs, settings=compact_windows.Settings(group=2, block=block)).collect()}
+    assert got == {0: 0, 6: 0, 1: 1, 7: 1, 8: 8, 9: 8}
+
+
 # ------------------------------------------------------------------------- 5
 
 
