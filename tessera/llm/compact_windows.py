@@ -355,6 +355,26 @@ def _shared(codes: np.ndarray, owner: np.ndarray, group: np.ndarray, rids: np.nd
     return held[key]
 
 
+def _dense(items: list[dict], h: list[np.ndarray], codes: np.ndarray, often: np.ndarray, member: np.ndarray, near: np.ndarray, s: Settings) -> np.ndarray:
+    """Pairs of ``near`` of which each item has a dense stretch of the other's shingles, as ``alike`` asks first of all."""
+    column = np.where(often, np.cumsum(often), 0)[codes]
+    member = np.concatenate([np.zeros((len(items), 1), bool), member], axis=1)
+    out = np.zeros(near.shape, bool)
+    both, begin = near | near.T, 0
+    for i, x in enumerate(items):
+        places, n = column[begin : begin + len(h[i])], len(h[i])
+        begin += n
+        low, high = max(0, x["a"] - s.least + 1), min(x["e"], n - s.least)
+        others = np.flatnonzero(both[i])
+        if low > high or not len(others):
+            continue
+        total = np.zeros((len(others), n + 1), np.int32)
+        np.cumsum(member[np.ix_(others, places)], axis=1, out=total[:, 1:])
+        got = total[:, low + s.least : high + s.least + 1] - total[:, low : high + 1]
+        out[i, others] = got.max(axis=1) >= _need(s) * s.least
+    return out & out.T
+
+
 def _linked(items: list[dict], h: list[np.ndarray], codes: np.ndarray, root: list[int], s: Settings, against: set[int] | None = None) -> list[tuple[int, int]]:
     """Verified pairs of items that join two parts, until no alike pair is in two; ``root`` is brought up to date."""
     out: list[tuple[int, int]] = []
@@ -368,14 +388,20 @@ def _linked(items: list[dict], h: list[np.ndarray], codes: np.ndarray, root: lis
         member = np.zeros((n, int(often.sum())), np.float32)
         member[np.repeat(np.arange(n), [len(x) for x in h])[held], (np.cumsum(often) - 1)[codes[held]]] = 1
         fewest = np.array([_fewest(x, it["a"], it["e"], s.least) for x, it in zip(h, items)])
-        near = np.tril(member @ member.T >= 0.99 * s.similarity * np.maximum(fewest[:, None], fewest[None, :]), -1)
+        both = member @ member.T
+        near = np.tril(both >= 0.99 * s.similarity * np.maximum(fewest[:, None], fewest[None, :]), -1)
         labels = np.array([_root(root, i) for i in range(n)])
-        pairs = np.argwhere(near & (labels[:, None] != labels[None, :])).tolist()
+        near &= labels[:, None] != labels[None, :]
+        if against is not None:
+            one = np.array([i in against for i in range(n)])
+            near &= one[:, None] | one[None, :]
+        at, by = np.nonzero(near & _dense(items, h, codes, often, member > 0, near, s))
+        # Those that share most come first: they join parts, and pairs inside a part need no look.
+        order = np.argsort(-both[at, by], kind="stable")
+        pairs = np.column_stack([at[order], by[order]]).tolist()
     else:
         pairs = [[1, 0]]
     for i, j in pairs:
-        if against is not None and i not in against and j not in against:
-            continue
         x, y = items[i], items[j]
         if _root(root, i) != _root(root, j) and alike(h[i], (x["a"], x["e"]), h[j], (y["a"], y["e"]), s):
             out.append((i, j))

@@ -378,6 +378,29 @@ def test_shingles_that_others_hold(spark, block):
     assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (block == 5)
 
 
+def test_pairs_without_a_dense_stretch_are_not_verified(monkeypatch):
+    """Items that share shingles, but nowhere densely, cost no verification; links are those of all pairs."""
+    rng, s = np.random.default_rng(4), compact_windows.Settings()
+    base, h = np.arange(91), []
+    for k in range(30):
+        x = base.copy()
+        if k < 15:
+            x[rng.permutation(45)[:k]] += 1000 * (k + 1)
+        else:
+            x[k % 2 :: 2] = 5000 + 100 * k + np.arange(len(x[k % 2 :: 2]))
+        h.append(x.astype("<u4"))
+    items = [{"rid": k, "label": k, "whole": False, "a": 45, "e": 45} for k in range(30)]
+    plain = components(30, [(i, j) for i in range(30) for j in range(i) if compact_windows.alike(h[i], (45, 45), h[j], (45, 45), s)])
+    calls, real = [], compact_windows.alike
+    monkeypatch.setattr(compact_windows, "alike", lambda *a: calls.append(1) or real(*a))
+    root = list(range(30))
+    compact_windows._linked(items, h, compact_windows._columns(items, h)[0], root, s)
+    got = [compact_windows._root(root, i) for i in range(30)]
+    assert [[got[i] == got[j] for j in range(30)] for i in range(30)] == [[plain[i] == plain[j] for j in range(30)] for i in range(30)]
+    assert len(set(plain)) > 10
+    assert len(calls) < 60
+
+
 @pytest.mark.parametrize("block", [4000, 4])
 def test_passages_do_not_depend_on_the_size_of_blocks(spark, odd_docs, block):
     got = {r["doc_id"]: r["component_id"] for r in compact_windows.shared_passages(odd_docs, settings=compact_windows.Settings(group=2, block=block)).collect()}
