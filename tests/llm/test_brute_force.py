@@ -201,6 +201,51 @@ def test_scores_do_not_depend_on_the_layout(spark, odd_docs):
     assert np.allclose([x[3] for x in scores[0]], [x[3] for x in scores[1]], rtol=1e-12, atol=1e-9)
 
 
+def test_pairs_of_words_that_are_not_frequent_count(spark):
+    """Each word has its own context, however few have a row in the dense table."""
+    filler = "the of the and of the "
+    rows = [(i, filler + ("red stone " if i % 2 else "blue river ") + filler) for i in range(20)]
+    probes = [(100, "red stone"), (101, "blue river"), (102, "red river"), (103, "blue stone")]
+    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
+    settings = pitman_yor.Settings(contexts=4)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df, F.col("doc_id") < 100, settings=settings).collect()}
+    assert got[100] + got[101] > got[102] + got[103] + 1
+
+
+_TIGHT = {"contexts": 3, "common": 1, "bucket": 9, "chunk": 5}
+
+
+def test_all_words_add_up_over_many_buckets_with_few_common_words(spark):
+    rows = [(i, "a b c a b a d c f" if i % 3 else "a b e f g a c f") for i in range(12)]
+    tokens = [*"abcdefg", "unknown"]
+    texts = ["", *tokens, *(f"{u} {w}" for u in tokens for w in tokens)]
+    df = spark.createDataFrame(rows + [(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    scored = pitman_yor.score(df, F.col("doc_id") < 100, settings=pitman_yor.Settings(**_TIGHT)).collect()
+    got = {texts[r["doc_id"] - 1000]: r["score"] for r in scored if r["doc_id"] >= 1000}
+    assert len(scored) == len(rows) + len(texts)
+    ratio = np.array([[10 ** (got[f"{u} {w}"] - got[u]) for w in tokens] for u in tokens])
+    x = np.linalg.solve(np.eye(len(tokens)) - ratio, np.ones(len(tokens)))
+    assert abs(sum(10 ** got[w] * x[j] for j, w in enumerate(tokens)) + 10 ** got[""] - 1) < 1e-3
+
+
+@pytest.mark.parametrize("common", [200_000, 1])
+def test_restaurants_of_pairs_in_closed_form(spark, common):
+    """Where each pair occurs once, every customer sits alone."""
+    words = [f"w{k}" for k in range(23)]
+    rows = [(i, " ".join(words[(step * k + first) % 23] for k in range(23))) for i, (step, first) in enumerate([(1, 0), (5, 2), (7, 5)])]
+    texts = ["w3", "w3 w4", "w3 w9", "new", "new w4", "new w9"]
+    df = spark.createDataFrame(rows + [(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    settings = pitman_yor.Settings(contexts=1, common=common)
+    scored = pitman_yor.score(df, F.col("doc_id") < 100, settings=settings).collect()
+    p = {texts[r["doc_id"] - 100]: 10 ** r["score"] for r in scored if r["doc_id"] >= 100}
+    # Each of w3, w4 and w9 is followed by three different words and ends no text; "new" has no restaurant.
+    s, d = settings.strength, pitman_yor.discount(1, 0)
+    back = (s + 3 * d) / (s + 3)
+    parent = {w: p[f"new {w}"] / p["new"] / back for w in ("w4", "w9")}
+    assert np.isclose(p["w3 w4"] / p["w3"], (1 - d) / (s + 3) + back * parent["w4"], rtol=1e-4)
+    assert np.isclose(p["w3 w9"] / p["w3"], back * parent["w9"], rtol=1e-4)
+
+
 def test_contexts_against_loops():
     """Where every count is one, so is every table, and the process has a closed form."""
     width, s = 7, pitman_yor.Settings()
